@@ -340,6 +340,14 @@ def _needs_levels(model: Model, metric) -> bool:
     return True
 
 
+def joined_rows(
+    model: Model, table: str, fields: Sequence[str], filters: Sequence[m.Predicate] = ()
+) -> DataFrame:
+    """Rows of a table with fields of the tables it points to."""
+    rows = _Plan(model).rows(table, fields, filters)
+    return rows.select(*(F.col(internal(f)).alias(output(f)) for f in fields))
+
+
 def query(
     model: Model,
     metrics: Sequence[str] | Mapping[str, object],
