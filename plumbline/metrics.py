@@ -175,10 +175,10 @@ class Scope:
 
     def is_cross_filtered(self, model: Model, name: str) -> bool:
         """Some grouping or filter can reach the table that holds the field."""
-        reach = model.paths(split_field(name)[0])
-        return any(
-            split_field(f)[0] in reach for f in (*self.by, *(p.field for p in self.filters))
-        )
+        table = split_field(name)[0]
+        reach = model.paths(table)
+        sources = {split_field(f)[0] for f in (*self.by, *(p.field for p in self.filters))}
+        return any(s in reach or model.reverse_path(table, s) for s in sources)
 
 
 # -- the named patterns ------------------------------------------------------

@@ -120,7 +120,7 @@ class Model:
                 queue.append(rel.one)
         return found
 
-    def reverse_path(self, table: str, other: str, use: frozenset[str]) -> tuple[Relationship, ...]:
+    def reverse_path(self, table: str, other: str, use: frozenset[str] = frozenset()) -> tuple[Relationship, ...]:
         """Links from ``other`` up to ``table`` if all of them filter both ways."""
         path = self.paths(other, use).get(table, ())
         return path if path and all(rel.both for rel in path) else ()

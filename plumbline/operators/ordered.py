@@ -16,58 +16,95 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plumbline.operators.attach import attach
 
 # 2 ** STEPS ranges for a group above SPLIT_ABOVE distinct values.
-STEPS = 8
+STEPS = 10
 SPLIT_ABOVE = 1_000_000
+# Ten times finer than a range.
+ACCURACY = 10 * 2**STEPS
 
 
-def _range_of(frame: DataFrame, value: str) -> DataFrame:
-    """Add the range number of ``value`` by halving over the cut points."""
-    frame = frame.withColumn("__range", F.lit(0))
-    for step in (2**i for i in reversed(range(STEPS))):
-        cut = F.get("__cuts", F.col("__range") + F.lit(step - 1))
-        frame = frame.withColumn(
-            "__range", F.col("__range") + F.when(F.col(value) >= cut, step).otherwise(0)
-        )
-    return frame
+def _cut_points(value: str) -> Column:
+    points = ", ".join(f"{i / 2**STEPS}D" for i in range(1, 2**STEPS))
+    return F.expr(f"percentile_approx(`{value}`, array({points}), {ACCURACY})")
 
 
-def ordered_counts(
-    rows: DataFrame, keys: Sequence[str], value: str, split_above: int = SPLIT_ABOVE
-) -> DataFrame:
-    """Per key and distinct value: ``n`` rows, ``before`` rows with a smaller
-    value, and ``total`` rows of the key. Blank values are left out."""
-    keys = list(keys)
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    cuts = [i / 2**STEPS for i in range(1, 2**STEPS)]
-    groups = counts.groupBy(*keys).agg(
+def _range_of(frame: DataFrame, value: str) -> DataFrame:
+    """Add the range number of ``value`` by halving over the cut points.
+
+    Each step refers to the one before, which keeps the search in generated
+    code. Without cut points everything is in range 0.
+    """
+    steps = [F.lit(0).alias("__r0")]
+    for i, step in enumerate(2**k for k in reversed(range(STEPS))):
+        so_far = F.col(f"__r{i}")
+        up = F.col(value) >= F.get("__cuts", so_far + F.lit(step - 1))
+        steps.append((so_far + F.when(up, step).otherwise(0)).alias(f"__r{i + 1}"))
+    return frame.select(
+        *frame.columns, *steps, F.col(f"__r{STEPS}").alias("__range")
+    ).drop(*(f"__r{i}" for i in range(STEPS + 1)))
+
+
+def _keyed(frame: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Pack the keys into one struct: it is never blank itself and blanks
+    inside it are equal, so grouping, joins and windows on it share one
+    partitioning."""
+    if not keys:
+        return frame, []
+    others = [c for c in frame.columns if c not in keys]
+    return frame.select(F.struct(*keys).alias("__key"), *others), ["__key"]
+
+
+def _join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    return left.join(right, list(on), "left") if on else attach(left, right, ())
+
+
+def _ordered(rows: DataFrame, key: list[str], value: str, split_above: int) -> DataFrame:
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("n"))
+    groups = counts.groupBy(*key).agg(
         F.sum("n").alias("total"),
-        F.when(F.count("*") > split_above, F.percentile_approx(value, cuts, 10_000)).alias("__cuts"),
+        F.when(F.count("*") > split_above, _cut_points(value)).alias("__cuts"),
     )
     placed = (
-        _range_of(attach(counts, groups, keys), value)
+        _range_of(_join(counts, groups, key), value)
+        .withColumn("__split", F.col("__cuts").isNotNull())
         .drop("__cuts")
-        .repartition(*keys, "__range")
+        .repartition(*key, "__range")
     )
-    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 2 ** STEPS ranges per key, so this window stays small.
+    # Only groups that were cut need offsets: at most 2 ** STEPS rows per key.
+    earlier = Window.partitionBy(*key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (
-        placed.groupBy(*keys, "__range")
+        placed.where("__split")
+        .groupBy(*key, "__range")
         .agg(F.sum("n").alias("__size"))
-        .withColumn("__offset", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
+        .withColumn("__offset", F.sum("__size").over(earlier))
         .drop("__size")
     )
     upto = (
-        Window.partitionBy(*keys, "__range")
+        Window.partitionBy(*key, "__range")
         .orderBy(value)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    before = F.coalesce("__offset", F.lit(0)) + F.sum("n").over(upto) - F.col("n")
     return (
-        attach(placed, ranges, [*keys, "__range"])
-        .withColumn("before", F.col("__offset") + F.sum("n").over(upto) - F.col("n"))
-        .drop("__range", "__offset")
+        _join(placed, ranges, [*key, "__range"])
+        .withColumn("before", before)
+        .select(*key, value, "n", "before", "total")
     )
 
 
+def _opened(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    others = [c for c in frame.columns if c != "__key"]
+    return frame.select(*(F.col("__key")[k].alias(k) for k in keys), *others)
+
+
+def ordered_counts(
+    rows: DataFrame, keys: Sequence[str], value: str, split_above: int = SPLIT_ABOVE
+) -> DataFrame:
+    """Per key and distinct value: ``n`` rows, ``before`` rows with a smaller
+    value, and ``total`` rows of the key. Blank values are left out."""
+    keyed, key = _keyed(rows.select(*keys, value), keys)
+    return _opened(_ordered(keyed, key, value, split_above), keys)
+
+
 def percentiles(
     rows: DataFrame,
     keys: Sequence[str],
@@ -76,7 +113,8 @@ def percentiles(
     split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
     """Inclusive percentiles, linear between neighbours, one column per point."""
-    counts = ordered_counts(rows, keys, value, split_above)
+    keyed, key = _keyed(rows.select(*keys, value), keys)
+    counts = _ordered(keyed, key, value, split_above)
     last = F.col("total") - 1
     aggs, outs = [], []
     for name, p in points.items():
@@ -87,9 +125,8 @@ def percentiles(
         low_v, high_v = F.col(f"__low_{name}"), F.col(f"__high_{name}")
         spot = (F.col("__total") - 1) * F.lit(p)
         outs.append((low_v + (high_v - low_v) * (spot - F.floor(spot))).alias(name))
-    return (
-        counts.groupBy(*keys).agg(F.max("total").alias("__total"), *aggs).select(*keys, *outs)
-    )
+    found = counts.groupBy(*key).agg(F.max("total").alias("__total"), *aggs)
+    return _opened(found.select(*key, *outs), keys)
 
 
 def dense_rank(
@@ -101,23 +138,26 @@ def dense_rank(
     split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
     """Dense rank of ``value`` inside the keys; a blank value has no rank."""
-    distinct = frame.select(*keys, value).distinct()
-    counts = ordered_counts(distinct, keys, value, split_above)
+    counts = ordered_counts(frame.select(*keys, value).distinct(), keys, value, split_above)
     rank: Column = F.col("total") - F.col("before") if descending else F.col("before") + 1
     ranks = counts.select(*keys, value, rank.alias(name))
     return attach(frame, ranks, [*keys, value])
 
 
-def relative_position(
+def relative_positions(
     rows: DataFrame,
     keys: Sequence[str],
-    value: str,
-    name: str,
+    names: Mapping[str, str],
     split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
-    """Share of the other rows of the key that have a larger value: the lowest
-    value scores 1 and the highest 0."""
-    counts = ordered_counts(rows, keys, value, split_above)
-    larger = F.col("total") - F.col("before") - F.col("n")
-    share = F.when(F.col("total") > 1, larger / (F.col("total") - 1)).otherwise(0.0)
-    return attach(rows, counts.select(*keys, value, share.alias(name)), [*keys, value])
+    """Per value column, the share of the other rows of the key that have a
+    larger value: the lowest value scores 1 and the highest 0. ``names`` maps
+    value columns to result columns."""
+    keyed, key = _keyed(rows, keys)
+    out = keyed
+    for value, name in names.items():
+        counts = _ordered(keyed.select(*key, value), key, value, split_above)
+        larger = F.col("total") - F.col("before") - F.col("n")
+        share = F.when(F.col("total") > 1, larger / (F.col("total") - 1)).otherwise(0.0)
+        out = _join(out, counts.select(*key, value, share.alias(name)), [*key, value])
+    return _opened(out, keys).select(*rows.columns, *names.values())

@@ -227,6 +227,9 @@ class _Plan:
         keys = [internal(b) for b in first.by]
         if first.agg.kind == "percentile":
             value = frame.select(*keys, first.agg.expr.column(self.model).alias("__value"))
+            if sets:
+                value = _expand(value, first.by, sets)
+                keys = [*keys, "grouping_id"]
             points = {self.leaves[leaf]: leaf.agg.p for leaf in leaves}
             return ordered.percentiles(value, keys, "__value", points)
         outs = [
@@ -328,7 +331,7 @@ def _needs_levels(model: Model, metric) -> bool:
     if isinstance(metric, str):
         return _needs_levels(model, model.metric(metric))
     if isinstance(metric, m.Agg):
-        return metric.kind == "percentile"
+        return False
     if isinstance(metric, m.Derived):
         return any(_needs_levels(model, p) for p in metric.parts)
     if isinstance(metric, m.Calculate):
@@ -422,6 +425,19 @@ def grouping_id(by: Sequence[str], grouping: Sequence[str]) -> int:
     )
 
 
+def _expand(frame: DataFrame, by: Sequence[str], sets: Sets) -> DataFrame:
+    """Every row once per grouping, left-out columns blank."""
+    copies = [
+        F.struct(
+            *(F.when(F.lit(b in one), F.col(internal(b))).alias(internal(b)) for b in by),
+            F.lit(grouping_id(by, one)).cast("bigint").alias("grouping_id"),
+        )
+        for one in sets
+    ]
+    spread = frame.select("__value", F.explode(F.array(*copies)).alias("__copy"))
+    return spread.select("__copy.*", "__value")
+
+
 def _one_pass(model, values, ctx: Context) -> dict[str, object]:
     """Metrics that a single aggregation over grouping sets can produce."""
 

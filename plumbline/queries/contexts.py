@@ -179,7 +179,7 @@ def time_spine_fill(spark, path):
         star(spark, path), {"reviewed_valid_rows": "result_rows"}, by=["orders.day"], filters=reviewed
     )
     spine = day_spine(read_table(spark, path, "orders"), "o_orderdate", "day")
-    return windows.fill_days(spine, days, "day", ["reviewed_valid_rows"])
+    return windows.fill_days(days, spine, "day", ["reviewed_valid_rows"])
 
 
 @case(
@@ -197,16 +197,15 @@ def selected_leg_switch(spark, path):
 @case(
     "within_group_percentile",
     """WITH $GEO, p AS (SELECT o_orderkey, n_name, c_mktsegment,
-      round(CASE WHEN part_a IS NOT NULL THEN percent_rank() OVER (
-        PARTITION BY n_name, c_mktsegment, part_a IS NULL ORDER BY part_a DESC) END, 6) AS part_a_rel,
-      round(CASE WHEN part_b IS NOT NULL THEN percent_rank() OVER (
-        PARTITION BY n_name, c_mktsegment, part_b IS NULL ORDER BY part_b DESC) END, 6) AS part_b_rel,
-      round(CASE WHEN part_d IS NOT NULL THEN percent_rank() OVER (
-        PARTITION BY n_name, c_mktsegment, part_d IS NULL ORDER BY part_d DESC) END, 6) AS part_d_rel FROM g)
-    SELECT o_orderkey, n_name, c_mktsegment, part_a_rel, part_b_rel, part_d_rel,
-      CASE WHEN part_a_rel IS NOT NULL AND part_b_rel IS NOT NULL AND part_d_rel IS NOT NULL THEN
-        round(greatest(part_a_rel, part_b_rel, part_d_rel) - least(part_a_rel, part_b_rel, part_d_rel), 5)
-      END AS spread_rel FROM p""",
+      CASE WHEN part_a IS NOT NULL THEN percent_rank() OVER (
+        PARTITION BY n_name, c_mktsegment, part_a IS NULL ORDER BY part_a DESC) END AS a,
+      CASE WHEN part_b IS NOT NULL THEN percent_rank() OVER (
+        PARTITION BY n_name, c_mktsegment, part_b IS NULL ORDER BY part_b DESC) END AS b,
+      CASE WHEN part_d IS NOT NULL THEN percent_rank() OVER (
+        PARTITION BY n_name, c_mktsegment, part_d IS NULL ORDER BY part_d DESC) END AS d FROM g)
+    SELECT o_orderkey, n_name, c_mktsegment, round(a, 6) AS part_a_rel, round(b, 6) AS part_b_rel,
+      round(d, 6) AS part_d_rel, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND d IS NOT NULL THEN
+        round(greatest(a, b, d) - least(a, b, d), 6) END AS spread_rel FROM p""",
 )
 def within_group_percentile(spark, path):
     from plumbline.plans.planner import joined_rows
@@ -214,15 +213,14 @@ def within_group_percentile(spark, path):
     parts = ["part_a", "part_b", "part_d"]
     fields = ["orders.o_orderkey", NATION, "customer.c_mktsegment", *(f"orders.{p}" for p in parts)]
     frame = joined_rows(star(spark, path), "orders", fields)
-    for part in parts:
-        frame = ordered.relative_position(frame, ["n_name", "c_mktsegment"], part, f"{part}_rel")
-    frame = rounded(frame)
+    frame = ordered.relative_positions(
+        frame, ["n_name", "c_mktsegment"], {p: f"{p}_rel" for p in parts}
+    )
     rel = [f"{p}_rel" for p in parts]
     complete = F.col(rel[0]).isNotNull() & F.col(rel[1]).isNotNull() & F.col(rel[2]).isNotNull()
-    spread = F.when(complete, F.round(F.greatest(*rel) - F.least(*rel), 5))
-    return frame.select(
-        "o_orderkey", "n_name", "c_mktsegment", *rel, spread.alias("spread_rel")
-    )
+    spread = F.when(complete, F.greatest(*rel) - F.least(*rel))
+    frame = frame.select("o_orderkey", "n_name", "c_mktsegment", *rel, spread.alias("spread_rel"))
+    return rounded(frame)
 
 
 @case(

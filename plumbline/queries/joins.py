@@ -143,15 +143,15 @@ def role_row_filter(spark, path):
 @case(
     "same_period_last_year",
     """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS result_rows,
-      round(avg(o_totalprice), 4) AS price_mean FROM orders GROUP BY 1)
-    SELECT d.day, d.result_rows, d.price_mean, p.result_rows AS result_rows_last_year,
-      p.price_mean AS price_mean_last_year
+      max(o_totalprice) AS price_max FROM orders GROUP BY 1)
+    SELECT d.day, d.result_rows, d.price_max, p.result_rows AS result_rows_last_year,
+      p.price_max AS price_max_last_year
     FROM d LEFT JOIN d p ON p.day = d.day - INTERVAL 1 YEAR""",
 )
 def same_period_last_year(spark, path):
-    wanted = {"result_rows": "result_rows", "price_mean": m.average("orders.o_totalprice")}
-    days = rounded(query(star(spark, path), wanted, by=["orders.day"]), 4)
-    return windows.same_period_last_year(days, "day", [], ["result_rows", "price_mean"])
+    wanted = {"result_rows": "result_rows", "price_max": m.maximum("orders.o_totalprice")}
+    days = query(star(spark, path), wanted, by=["orders.day"])
+    return windows.same_period_last_year(days, "day", [], ["result_rows", "price_max"])
 
 
 def _match_inputs(spark, path):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline import metric_slices, query
 from plumbline.operators import diff, reconcile
-from plumbline.queries.registry import case, rounded
+from plumbline.queries.registry import case
 from plumbline.queries.rows import SLICES
 from plumbline.sources.tables import read_table
 from plumbline.star import derive_results, star
@@ -36,7 +36,7 @@ def _engine_route(spark, path):
 @case(
     "reconcile_full_outer",
     "WITH $RESULTS, " + _OTHER + """
-    SELECT o_custkey, l.b AS left_value, round(r.b, 6) AS right_value,
+    SELECT o_custkey, l.b AS left_value, r.b AS right_value,
       CASE WHEN r.o_custkey IS NULL THEN 'ONLY_LEFT' WHEN l.o_custkey IS NULL THEN 'ONLY_RIGHT'
         WHEN l.b IS NULL AND r.b IS NULL THEN 'MATCH' WHEN l.b IS NULL OR r.b IS NULL THEN 'DIFFERENT'
         WHEN abs(l.b - r.b) <= greatest(1e-9, 1e-9 * greatest(abs(l.b), abs(r.b))) THEN 'MATCH'
@@ -44,10 +44,9 @@ def _engine_route(spark, path):
     FROM l FULL JOIN r USING (o_custkey)""",
 )
 def reconcile_full_outer(spark, path):
-    cells = reconcile.compare_cells(
+    return reconcile.compare_cells(
         _engine_route(spark, path), _other_route(spark, path), ["o_custkey"]
     )
-    return rounded(cells)
 
 
 @case(
@@ -164,7 +163,7 @@ def result_fingerprint(spark, path):
     "WITH $RESULTS, " + _OTHER + """,
     t AS (SELECT o_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN b - 2 ELSE b END AS b
       FROM l JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment <> 'BUILDING')
-    SELECT o_custkey, l.b AS source, round(r.b, 6) AS repository, t.b AS third,
+    SELECT o_custkey, l.b AS source, r.b AS repository, t.b AS third,
       CASE WHEN r.o_custkey IS NULL THEN 'NOT_AVAILABLE'
         WHEN (l.b IS NULL AND r.b IS NULL OR
           abs(l.b - r.b) <= greatest(1e-9, 1e-9 * greatest(abs(l.b), abs(r.b))))
@@ -181,9 +180,7 @@ def reconcile_three_way(spark, path):
         "o_custkey",
         F.when(F.col("c_mktsegment") == "MACHINERY", value - 2).otherwise(value).alias("value"),
     )
-    return rounded(
-        reconcile.three_way(source, _other_route(spark, path), third, ["o_custkey"])
-    )
+    return reconcile.three_way(source, _other_route(spark, path), third, ["o_custkey"])
 
 
 _AFTER = """a AS (SELECT o_orderkey, o_custkey,

@@ -192,11 +192,11 @@ def evidence_explode(spark, path):
     """WITH $GEO, a AS (
       SELECT 'OVERALL' AS slice, 0 AS grouping, '{}' AS coordinates, count(*) AS n,
         count(*) FILTER (WHERE is_valid) AS v, sum(part_b) AS b FROM g
-      UNION ALL SELECT 'STATUS', 0, '{"o_orderstatus":"' || o_orderstatus || '"}', count(*),
+      UNION ALL SELECT 'STATUS', 0, '{"orders.o_orderstatus":"' || o_orderstatus || '"}', count(*),
         count(*) FILTER (WHERE is_valid), sum(part_b) FROM g GROUP BY o_orderstatus
-      UNION ALL SELECT 'COUNTRY', 0, '{"n_name":"' || n_name || '","r_name":"' || r_name || '"}', count(*),
+      UNION ALL SELECT 'COUNTRY', 0, '{"nation.n_name":"' || n_name || '","region.r_name":"' || r_name || '"}', count(*),
         count(*) FILTER (WHERE is_valid), sum(part_b) FROM g GROUP BY n_name, r_name
-      UNION ALL SELECT 'COUNTRY', 1, '{"r_name":"' || r_name || '"}', count(*),
+      UNION ALL SELECT 'COUNTRY', 1, '{"region.r_name":"' || r_name || '"}', count(*),
         count(*) FILTER (WHERE is_valid), sum(part_b) FROM g GROUP BY r_name
       UNION ALL SELECT 'COUNTRY', 2, '{}', count(*), count(*) FILTER (WHERE is_valid), sum(part_b) FROM g)
     SELECT slice, "grouping", coordinates, 'result_rows' AS metric, n::DOUBLE AS value FROM a

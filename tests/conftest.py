@@ -26,4 +26,4 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf():
-    return f"{TESTDATA}/sf0.001"
+    return f"{TESTDATA}/{os.environ.get('TEST_SF', 'sf0.001')}"
