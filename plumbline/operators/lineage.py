@@ -32,7 +32,7 @@ def closure(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> Data
     in the round before and drops those already known, so cycles end; a start
     that reaches itself is on a cycle.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = cut_lineage(edges.select("src", "dst").distinct())
     frontier = starts.select("start").distinct().select("start", F.col("start").alias("node"))
     rounds: list[DataFrame] = []
     for hops in range(1, max_rounds + 1):
@@ -71,7 +71,7 @@ def propagate_risk(
     """Push risk up the edges: ``nodes(node, status)`` whose status is ``sound``
     become ``risky`` when something they depend on, directly or not, is not
     sound or does not exist. Returns node, status and reason."""
-    edges = edges.select("src", "dst").distinct()
+    edges = cut_lineage(edges.select("src", "dst").distinct())
     bad = nodes.where(F.col("status") != sound).select("node")
     unresolved = (
         edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_anti")

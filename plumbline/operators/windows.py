@@ -51,7 +51,8 @@ def parent_share(
         children = children.withColumn(
             f"__p_{level}", F.when(F.col("grouping_id") < ids[k], F.col(level))
         )
-    parents = rolled.select(
+    # Leaves are nobody's parent; without them this side is small.
+    parents = rolled.where("grouping_id > 0").select(
         F.col("grouping_id").alias("__p_gid"),
         *(F.col(level).alias(f"__p_{level}") for level in levels),
         F.col(value).alias("__parent"),

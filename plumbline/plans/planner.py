@@ -156,15 +156,28 @@ class _Plan:
 
     # -- rows ---------------------------------------------------------------
 
-    def rows(self, table: str, fields: Iterable[str], predicates, use=frozenset(), restrict=(), treat_as=()) -> DataFrame:
-        """The table joined to just the parents that the fields live in."""
+    def rows(
+        self,
+        table: str,
+        fields: Iterable[str],
+        predicates,
+        use=frozenset(),
+        restrict=(),
+        treat_as=(),
+        shrink: tuple[Sequence[str], Sequence[Column]] | None = None,
+    ) -> DataFrame:
+        """The table joined to just the parents that the fields live in.
+
+        ``shrink`` is (keys, aggregates): the visible rows of the table are
+        reduced to these before any parent is joined.
+        """
         predicates = sorted(predicates, key=_order)
         wanted: dict[str, set[str]] = {table: set()}
         links = []
         paths = self.model.paths(table, use)
-        extra = [pair[1] for pair, _ in treat_as]
-        extra += [f"{table}.{c}" for _, path, _ in restrict for _, c in path[-1].on]
-        for name in (*fields, *extra, *(f for p in predicates for f in p.fields)):
+        targets = [pair[1] for pair, _ in treat_as]
+        targets += [f"{table}.{c}" for _, path, _ in restrict for _, c in path[-1].on]
+        for name in (*fields, *targets, *(f for p in predicates for f in p.fields)):
             owner, column = split_field(name)
             if owner not in paths:
                 raise ModelError(f"{name} cannot be reached from {table}")
@@ -175,15 +188,12 @@ class _Plan:
                 for many, one in rel.on:
                     wanted.setdefault(rel.many, set()).add(many)
                     wanted.setdefault(rel.one, set()).add(one)
+        if any(split_field(t)[0] != table for t in targets):
+            raise ModelError(f"visible keys can only be applied to columns of {table}")
+        own = [p for p in predicates if _tables(p) <= {table}]
         frame = self._project(table, wanted[table])
-        for rel in sorted(links, key=lambda r: len(paths[r.one])):
-            test = reduce(
-                and_,
-                [F.col(f"{rel.many}__{a}") == F.col(f"{rel.one}__{b}") for a, b in rel.on],
-            )
-            frame = frame.join(self._project(rel.one, wanted[rel.one]), test, "left")
-        if predicates:
-            frame = frame.where(reduce(and_, [p.column(self.model) for p in predicates]))
+        if own:
+            frame = frame.where(reduce(and_, [p.column(self.model) for p in own]))
         for other, path, tests in restrict:
             last = path[-1]
             keys = [f"{last.many}.{a}" for a, _ in last.on]
@@ -192,6 +202,18 @@ class _Plan:
             )
         for (source, target), tests in treat_as:
             frame = self._keep_visible(frame, split_field(source)[0], [source], [target], tests, use)
+        if shrink:
+            keys, aggregates = shrink
+            frame = frame.groupBy(*keys).agg(*aggregates)
+        for rel in sorted(links, key=lambda r: len(paths[r.one])):
+            test = reduce(
+                and_,
+                [F.col(f"{rel.many}__{a}") == F.col(f"{rel.one}__{b}") for a, b in rel.on],
+            )
+            frame = frame.join(self._project(rel.one, wanted[rel.one]), test, "left")
+        rest = [p for p in predicates if p not in own]
+        if rest:
+            frame = frame.where(reduce(and_, [p.column(self.model) for p in rest]))
         return frame
 
     def _keep_visible(self, frame, table, sources, targets, tests, use) -> DataFrame:
@@ -223,19 +245,36 @@ class _Plan:
         for leaf in leaves:
             fields += [f for p in (leaf.outer | leaf.mask) for f in p.fields]
             fields += leaf.agg.expr.fields if leaf.agg.expr else ()
-        frame = self.rows(first.agg.table, fields, shared, first.use, first.restrict, first.treat_as)
         keys = [internal(b) for b in first.by]
+        sources = (first.use, first.restrict, first.treat_as)
         if first.agg.kind == "percentile":
+            frame = self.rows(first.agg.table, fields, shared, *sources)
             value = frame.select(*keys, first.agg.expr.column(self.model).alias("__value"))
             if sets:
                 value = _expand(value, first.by, sets)
                 keys = [*keys, "grouping_id"]
             points = {self.leaves[leaf]: leaf.agg.p for leaf in leaves}
             return ordered.percentiles(value, keys, "__value", points)
-        outs = [
-            self._aggregate_column(leaf.agg, (leaf.outer | leaf.mask) - shared).alias(self.leaves[leaf])
-            for leaf in leaves
-        ]
+
+        masks = {leaf: (leaf.outer | leaf.mask) - shared for leaf in leaves}
+        shrink = self._shrink(leaves, masks, fields, sets)
+        if shrink is None:
+            frame = self.rows(first.agg.table, fields, shared, *sources)
+            outs = [
+                self._whole(leaf.agg, masks[leaf]).alias(self.leaves[leaf]) for leaf in leaves
+            ]
+        else:
+            own_keys, partials, later = shrink
+            # Masks on parents still need their columns after the reduction.
+            after = [*first.by, *(f for mask in later.values() for p in mask for f in p.fields)]
+            frame = self.rows(
+                first.agg.table, self._inputs(leaves, masks, after), shared, *sources,
+                shrink=(own_keys, partials),
+            )
+            outs = [
+                self._merged(leaf.agg, self.leaves[leaf], later[leaf]).alias(self.leaves[leaf])
+                for leaf in leaves
+            ]
         if sets:
             groupings = [[internal(b) for b in one] for one in sets]
             return frame.groupingSets(groupings, *keys).agg(
@@ -243,9 +282,81 @@ class _Plan:
             )
         return frame.groupBy(*keys).agg(*outs)
 
-    def _aggregate_column(self, agg: m.Agg, mask: frozenset) -> Column:
+    def _inputs(self, leaves, masks, after) -> list[str]:
+        fields = list(after)
+        for leaf in leaves:
+            fields += leaf.agg.expr.fields if leaf.agg.expr else ()
+            fields += [f for p in masks[leaf] for f in p.fields]
+        return fields
+
+    def _shrink(self, leaves, masks, fields, sets):
+        """Reduce the fact to one row per parent key before joining parents.
+
+        The join then moves partial results instead of fact rows, and a parent
+        that owns a large part of the fact is a few rows. Possible when the
+        values come from the fact alone, all parents hang on one key, and the
+        aggregates can be merged or the key itself is part of the grouping.
+        """
+        first = leaves[0]
+        fact = first.agg.table
+        paths = self.model.paths(fact, first.use)
+        hops = {paths[t][0] for t in {split_field(f)[0] for f in fields} - {fact}}
+        if len(hops) != 1:
+            return None
+        parent_keys = [f"{fact}__{a}" for a, _ in next(iter(hops)).on]
+        own_by = [internal(b) for b in first.by if split_field(b)[0] == fact]
+        own_keys = list(dict.fromkeys([*own_by, *parent_keys]))
+        one_row_each = not sets and set(parent_keys) <= set(own_by)
+        for leaf in leaves:
+            values = {split_field(f)[0] for f in leaf.agg.expr.fields} if leaf.agg.expr else set()
+            if values - {fact} or any(len(_tables(p)) > 1 for p in masks[leaf]):
+                return None
+            on_fact = all(_tables(p) <= {fact} for p in masks[leaf])
+            if leaf.agg.kind not in _MERGEABLE and not (one_row_each and on_fact):
+                return None
+        partials, later = [], {}
+        for leaf in leaves:
+            here = frozenset(p for p in masks[leaf] if _tables(p) <= {fact})
+            later[leaf] = masks[leaf] - here
+            partials += self._partials(leaf.agg, self.leaves[leaf], here)
+        return own_keys, partials, later
+
+    def _seen(self, mask) -> Column | None:
         tests = [p.column(self.model) for p in sorted(mask, key=_order)]
-        seen = reduce(and_, tests) if tests else None
+        return reduce(and_, tests) if tests else None
+
+    def _partials(self, agg: m.Agg, name: str, mask: frozenset) -> list[Column]:
+        if agg.kind == "average":
+            kinds = {"": "sum", "__n": "column_count"}
+        elif agg.kind == "only_value":
+            kinds = {"": "min", "__high": "max", "__blanks": "blanks"}
+        else:
+            kinds = {"": agg.kind}
+        return [
+            self._whole(replace(agg, kind=kind), mask).alias(name + suffix)
+            for suffix, kind in kinds.items()
+        ]
+
+    def _merged(self, agg: m.Agg, name: str, mask: frozenset) -> Column:
+        seen = self._seen(mask)
+
+        def part(suffix="", merge=F.sum):
+            column = F.col(name + suffix)
+            return merge(column if seen is None else F.when(seen, column))
+
+        if agg.kind in ("count", "column_count"):
+            return F.coalesce(part(), F.lit(0))
+        if agg.kind == "average":
+            return F.try_divide(part().cast("double"), part("__n").cast("double"))
+        if agg.kind == "only_value":
+            low = part(merge=F.min)
+            same = (part("__blanks") == 0) & (low == part("__high", F.max))
+            return F.when(same, low)
+        # A kind that cannot be merged is here as the only row of its group.
+        return part(merge=F.sum if agg.kind == "sum" else F.min if agg.kind == "min" else F.max)
+
+    def _whole(self, agg: m.Agg, mask: frozenset) -> Column:
+        seen = self._seen(mask)
         value = agg.expr.column(self.model) if agg.expr else None
         if agg.kind == "count":
             return F.count("*") if seen is None else F.count_if(seen)
@@ -255,9 +366,11 @@ class _Plan:
         if agg.kind == "stddev_pop":
             size = F.count("*") if seen is None else F.count_if(seen)
             return F.when(size >= 2, F.stddev_pop(visible))
+        if agg.kind == "blanks":
+            return F.count_if(value.isNull() if seen is None else seen & value.isNull())
         if agg.kind == "only_value":
-            blanks = F.count_if(value.isNull() if seen is None else seen & value.isNull())
             low = F.min(visible)
+            blanks = self._whole(replace(agg, kind="blanks"), mask)
             return F.when((blanks == 0) & (low == F.max(visible)), low)
         plain = {
             "column_count": F.count,
@@ -316,9 +429,15 @@ class _Plan:
         return any_table.sparkSession.range(1).select()
 
 
+# Kinds whose values over parts of a group give the value over the group.
+_MERGEABLE = {"count", "column_count", "sum", "average", "min", "max", "only_value"}
 _COUNTS = {"count", "column_count", "distinct_count"}
 
 
+def _tables(p) -> set[str]:
+    return {split_field(f)[0] for f in p.fields}
+
+
 def _order(p) -> tuple:
     """Fixed order of predicates, so that equal contexts give equal plans."""
     if isinstance(p, m.Predicate):
