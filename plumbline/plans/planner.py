@@ -300,8 +300,9 @@ class _Plan:
         first = leaves[0]
         fact = first.agg.table
         paths = self.model.paths(fact, first.use)
-        hops = {paths[t][0] for t in {split_field(f)[0] for f in fields} - {fact}}
-        if len(hops) != 1:
+        parents = {split_field(f)[0] for f in fields} - {fact}
+        hops = {paths[t][0] if t in paths else None for t in parents}
+        if len(hops) != 1 or None in hops:
             return None
         parent_keys = [f"{fact}__{a}" for a, _ in next(iter(hops)).on]
         own_by = [internal(b) for b in first.by if split_field(b)[0] == fact]
