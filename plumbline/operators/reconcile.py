@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.operators.attach import align, attach
+from plumbline.sources.evidence import evidence_rows
 
 # Fixed tolerance of decimal values, absolute and relative.
 TOLERANCE = 1e-9
@@ -84,6 +85,49 @@ def duplicate_coordinates(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     return results.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
+def overall_errors(results: DataFrame, group: Sequence[str], overall: str = "OVERALL") -> DataFrame:
+    """Groups whose overall slice does not hold exactly one row."""
+    rows = F.count_if(F.col("slice") == overall)
+    return results.groupBy(*group).agg(rows.alias("overall_rows")).where("overall_rows <> 1")
+
+
+def compare_evidence(endpoints: DataFrame, left: str = "source", right: str = "target") -> DataFrame:
+    """Verdict per coordinate of nested result evidence, values as text."""
+    cells = evidence_rows(endpoints)
+    keys = ["source_measure", "slice", "coordinates"]
+    sides = [
+        cells.where(F.col("side") == side).select(
+            *keys, F.col("value").alias(f"v{i}"), F.col("value_type").alias(f"t{i}")
+        )
+        for i, side in enumerate((left, right))
+    ]
+    both = align(*sides, keys)
+    verdict = (
+        F.when(~F.col("in_right"), "ONLY_LEFT")
+        .when(~F.col("in_left"), "ONLY_RIGHT")
+        .when(texts_match(F.col("t0"), F.col("v0"), F.col("v1")), "MATCH")
+        .otherwise("DIFFERENT")
+    )
+    return both.select(*keys, verdict.alias("verdict"))
+
+
+def evidence_status(endpoints: DataFrame, cells: DataFrame) -> DataFrame:
+    """Status per record: NOT_AVAILABLE unless both sides are there, FAILED
+    with one mismatch, else PASSED."""
+    keys = ["source_measure", "slice"]
+    there = endpoints.groupBy(*keys).agg(
+        (F.count_if((F.col("status") == "AVAILABLE") & F.col("complete")) == F.count("*")).alias("__both")
+    )
+    counts = cells.groupBy(*keys).agg(F.count_if(F.col("verdict") != "MATCH").alias("mismatches"))
+    status = (
+        F.when(~F.col("__both"), NOT_AVAILABLE).when(F.col("mismatches") > 0, FAILED).otherwise(PASSED)
+    )
+    joined = attach(there, counts, keys)
+    return joined.select(
+        *keys, F.when(F.col("__both"), F.col("mismatches")).alias("mismatches"), status.alias("status")
+    )
+
+
 def missing_groupings(observed: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Declared grouping sets that no result row shows."""
     seen = observed.select(*keys).distinct()

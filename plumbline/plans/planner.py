@@ -264,7 +264,7 @@ class _Plan:
                 self._whole(leaf.agg, masks[leaf]).alias(self.leaves[leaf]) for leaf in leaves
             ]
         else:
-            own_keys, partials, later = shrink
+            own_keys, partials, later, key_counts = shrink
             # Masks on parents still need their columns after the reduction.
             after = [*first.by, *(f for mask in later.values() for p in mask for f in p.fields)]
             frame = self.rows(
@@ -272,7 +272,7 @@ class _Plan:
                 shrink=(own_keys, partials),
             )
             outs = [
-                self._merged(leaf.agg, self.leaves[leaf], later[leaf]).alias(self.leaves[leaf])
+                self._merged(leaf, later[leaf], leaf in key_counts).alias(self.leaves[leaf])
                 for leaf in leaves
             ]
         if sets:
@@ -313,14 +313,29 @@ class _Plan:
             if values - {fact} or any(len(_tables(p)) > 1 for p in masks[leaf]):
                 return None
             on_fact = all(_tables(p) <= {fact} for p in masks[leaf])
-            if leaf.agg.kind not in _MERGEABLE and not (one_row_each and on_fact):
+            if leaf.agg.kind in _MERGEABLE or one_row_each and on_fact:
+                continue
+            if leaf.agg.kind != "distinct_count" or not self._counts_key(leaf.agg, own_keys):
                 return None
         partials, later = [], {}
         for leaf in leaves:
             here = frozenset(p for p in masks[leaf] if _tables(p) <= {fact})
             later[leaf] = masks[leaf] - here
-            partials += self._partials(leaf.agg, self.leaves[leaf], here)
-        return own_keys, partials, later
+            agg = leaf.agg
+            if agg.kind == "distinct_count" and self._counts_key(agg, own_keys):
+                agg = replace(agg, kind="count")
+            partials += self._partials(agg, self.leaves[leaf], here)
+        key_counts = {
+            leaf for leaf in leaves
+            if leaf.agg.kind == "distinct_count" and self._counts_key(leaf.agg, own_keys)
+        }
+        return own_keys, partials, later, key_counts
+
+    @staticmethod
+    def _counts_key(agg: m.Agg, own_keys: Sequence[str]) -> bool:
+        """The distinct values asked for are the rows of the reduced fact."""
+        plain = agg.expr is m.col(agg.expr.fields[0])
+        return plain and own_keys == [internal(agg.expr.fields[0])]
 
     def _seen(self, mask) -> Column | None:
         tests = [p.column(self.model) for p in sorted(mask, key=_order)]
@@ -338,8 +353,11 @@ class _Plan:
             for suffix, kind in kinds.items()
         ]
 
-    def _merged(self, agg: m.Agg, name: str, mask: frozenset) -> Column:
-        seen = self._seen(mask)
+    def _merged(self, leaf: Leaf, mask: frozenset, counts_key: bool) -> Column:
+        agg, name, seen = leaf.agg, self.leaves[leaf], self._seen(mask)
+        if counts_key:
+            there = F.col(name) > 0
+            return F.count_if(there if seen is None else there & seen)
 
         def part(suffix="", merge=F.sum):
             column = F.col(name + suffix)

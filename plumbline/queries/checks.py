@@ -274,7 +274,7 @@ def risk_propagation(spark, path):
 
 @case(
     "findings_summary",
-    """SELECT 'BLOCKER' AS severity, 'RESULT_WITHOUT_SPLITS' AS code, count(*) AS findings, 1 AS severity_rank
+    """SELECT 'BLOCKER' AS severity, 'RESULT_WITHOUT_SPLITS' AS code, count(*) AS findings, 1::BIGINT AS severity_rank
     FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
     UNION ALL SELECT 'ERROR', 'DUPLICATE_COORDINATE', count(*), 2 FROM (
       SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)

@@ -162,7 +162,14 @@ def stable_ids(spark, path):
     WHERE side = 'source' OR source_measure <> 'error'""",
 )
 def evidence_explode(spark, path):
-    # Keys are written out of order to show that coordinates come back sorted.
+    return evidence.evidence_rows(evidence.read_evidence(_documents(spark, path), "document"))
+
+
+def _documents(spark, path):
+    """One evidence document per event, its target missing for errors.
+
+    Keys are written out of order to show that coordinates come back sorted.
+    """
     text = """
         concat('{"source_measure":"', event_type, '","slice":"EVENT","value_type":"integer","source":',
           '{"status":"AVAILABLE","complete":true,"result_sha256":null,"rows":[{"coordinates":{"EVENT.K":', k,
@@ -174,17 +181,26 @@ def evidence_explode(spark, path):
               ',"coordinates":{"EVENT.ID":', event_id, ',"EVENT.K":', k,
               '}},{"coordinates":{"EVENT.ID":"', event_id, '"},"value":null}]}')),
           '}')"""
-    documents = (
-        read_table(spark, path, "events")
-        .select(
-            "event_type",
-            "event_id",
-            F.get_json_object("props", "$.k").alias("k"),
-            F.floor("value").alias("v"),
-        )
-        .select(F.expr(text).alias("document"))
+    events = read_table(spark, path, "events").select(
+        "event_type",
+        "event_id",
+        F.get_json_object("props", "$.k").alias("k"),
+        F.floor("value").alias("v"),
     )
-    return evidence.evidence_rows(evidence.read_evidence(documents, "document"))
+    return events.select(F.expr(text).alias("document"))
+
+
+@case(
+    "evidence_compare",
+    """SELECT event_type AS source_measure, CASE WHEN event_type <> 'error' THEN count(*) END AS mismatches,
+    CASE WHEN event_type = 'error' THEN 'NOT_AVAILABLE' ELSE 'FAILED' END AS status, 'EVENT' AS slice
+    FROM events GROUP BY 1""",
+)
+def evidence_compare(spark, path):
+    from plumbline.operators import reconcile
+
+    endpoints = evidence.read_evidence(_documents(spark, path), "document")
+    return reconcile.evidence_status(endpoints, reconcile.compare_evidence(endpoints))
 
 
 @case(

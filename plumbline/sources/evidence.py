@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 _ENDPOINT = T.StructType(
@@ -46,6 +44,7 @@ def read_evidence(documents: DataFrame, text: str, left: str = "source", right:
         "s.side",
         F.upper("s.e.status").alias("status"),
         F.col("s.e.complete").alias("complete"),
+        F.col("s.e.result_sha256").alias("result_sha256"),
         F.col("s.e.rows").alias("rows"),
     )
 
@@ -77,3 +76,33 @@ def availability_errors(endpoints: DataFrame) -> DataFrame:
         (F.col("status") == "NOT_AVAILABLE") & ~F.col("complete") & empty
     )
     return endpoints.where(~F.coalesce(ok, F.lit(False))).drop("rows")
+
+
+def altered_endpoints(endpoints: DataFrame, rows_only: bool = False) -> DataFrame:
+    """Available endpoints whose recorded hash is not the one of their rows.
+
+    The hash is the SHA-256 of canonical JSON, over the rows alone or over the
+    whole endpoint with a line end. Numbers written with an exponent have no
+    canonical form here and count as altered.
+    """
+    rows = F.to_json("rows")
+    if rows_only:
+        text = rows
+    else:
+        text = F.concat(
+            F.lit('{"complete":'),
+            F.col("complete").cast("string"),
+            F.lit(',"rows":'),
+            rows,
+            F.lit(',"status":"'),
+            F.col("status"),
+            F.lit('"}\n'),
+        )
+    same = F.sha2(text, 256) == F.col("result_sha256")
+    available = F.col("status") == "AVAILABLE"
+    return endpoints.where(available & ~F.coalesce(same, F.lit(False))).drop("rows")
+
+
+def cell_errors(cells: DataFrame) -> DataFrame:
+    """Cells whose value is neither a number nor blank."""
+    return cells.where(F.col("value").isNotNull() & ~F.col("value").rlike(r"^-?[0-9]"))

@@ -353,3 +353,22 @@ def test_slices_in_long_form(shop):
 def test_row_expressions_join_what_they_need(shop):
     food = Expr(("items.kind", "sales.amount"), lambda k, a: F.when(k == "food", a * 2))
     assert query(shop, {"t": m.total(food, table="sales")}).first().t == 14.0
+
+
+def test_distinct_parent_keys_are_counted_from_the_reduced_fact(shop):
+    x = Predicate("sales.flag", "x", keep=True)
+    wanted = {
+        "items": m.distinct_count("sales.item"),
+        "items_x": Calculate(m.distinct_count("sales.item"), (x,)),
+        "toys": Calculate(m.distinct_count("sales.item"), (Predicate("items.kind", "toys", keep=True),)),
+    }
+    got = rows_of(query(shop, wanted, by=["items.kind"], rollup=True), "kind", "grouping_id")
+    assert {k: (r["items"], r.items_x, r.toys) for k, r in got.items()} == {
+        ("toys", 0): (1, 1, 1),
+        ("food", 0): (1, 1, 0),
+        (None, 0): (2, 1, 0),
+        (None, 1): (4, 3, 1),
+    }
+    # Grouped by a column of the fact itself, keys repeat between groups.
+    got = rows_of(query(shop, wanted, by=["items.kind", "sales.flag"], rollup=True), "kind", "flag", "grouping_id")
+    assert got["toys", None, 1]["items"] == 1 and got[None, None, 3]["items"] == 4

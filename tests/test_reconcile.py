@@ -101,3 +101,43 @@ def test_three_way(spark):
         "alone": "NOT_AVAILABLE",
         "only": "NOT_AVAILABLE",
     }
+
+
+def test_evidence_records(spark):
+    import json
+
+    from plumbline.sources.evidence import read_evidence
+
+    def side(values):
+        rows = [{"coordinates": {"T.C": k}, "value": v} for k, v in (values or {}).items()]
+        return {
+            "status": "AVAILABLE" if rows else "NOT_AVAILABLE",
+            "complete": bool(rows),
+            "result_sha256": None,
+            "rows": rows,
+        }
+
+    def record(name, kind, left, right):
+        return (json.dumps({"source_measure": name, "slice": "S", "value_type": kind, "source": side(left), "target": side(right)}),)
+
+    docs = [
+        record("same", "DECIMAL", {"a": 0.1, "b": None}, {"a": 0.1000000005, "b": None}),
+        record("big", "DECIMAL", {"a": 10**9}, {"a": 10**9 + 1}),
+        record("missing", "INTEGER", {"a": 1, "b": 2}, {"a": 1}),
+        record("none", "INTEGER", {"a": 1}, None),
+    ]
+    endpoints = read_evidence(spark.createDataFrame(docs, "j string"), "j")
+    cells = r.compare_evidence(endpoints)
+    got = {s.source_measure: (s.mismatches, s.status) for s in r.evidence_status(endpoints, cells).collect()}
+    assert got == {
+        "same": (0, "PASSED"),
+        "big": (1, "FAILED"),
+        "missing": (1, "FAILED"),
+        "none": (None, "NOT_AVAILABLE"),
+    }
+
+
+def test_overall_needs_one_row(spark):
+    frame = spark.createDataFrame([("a", "OVERALL"), ("b", "OVERALL"), ("b", "OVERALL"), ("c", "X")], "metric string, slice string")
+    got = {x.metric: x.overall_rows for x in r.overall_errors(frame, ["metric"]).collect()}
+    assert got == {"b": 2, "c": 0}

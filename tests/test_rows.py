@@ -152,3 +152,31 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "f")).count() == 2
     with pytest.raises(Exception):
         sinks.write_results(long, str(tmp_path / "r"))
+
+
+def test_altered_evidence_is_found(spark):
+    rows = [{"coordinates": {"T.B": 1, "T.A": "é"}, "value": 1.25}, {"coordinates": {}, "value": None}]
+
+    def digest(value, end):
+        text = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")) + end
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    whole = digest({"complete": True, "rows": rows, "status": "AVAILABLE"}, "\n")
+    bare = digest(rows, "")
+    docs = []
+    for left, right in ((whole, bare), (bare, whole)):
+        record = json.loads(document(source=rows, target=rows))
+        record["source"]["result_sha256"], record["target"]["result_sha256"] = left, right
+        docs.append((json.dumps(record, ensure_ascii=False),))
+    for doc, bad in zip(docs, ("target", "source")):
+        endpoints = evidence.read_evidence(spark.createDataFrame([doc], "j string"), "j")
+        assert [r.side for r in evidence.altered_endpoints(endpoints).collect()] == [bad]
+        other = {"target": "source", "source": "target"}[bad]
+        assert [r.side for r in evidence.altered_endpoints(endpoints, rows_only=True).collect()] == [other]
+
+
+def test_cell_errors(spark):
+    rows = [{"coordinates": {"k": i}, "value": v} for i, v in enumerate([1, 1.5, None, True, "1", [1]])]
+    frame = spark.createDataFrame([(document(source=rows),)], "j string")
+    cells = evidence.evidence_rows(evidence.read_evidence(frame, "j"))
+    assert {r.coordinates for r in evidence.cell_errors(cells).collect()} == {'{"k":3}', '{"k":4}', '{"k":5}'}
