@@ -229,7 +229,7 @@ class _Plan:
     def _project(self, table: str, columns: set[str]) -> DataFrame:
         frame = self.model.table(table).frame
         if not columns:
-            # COUNTROWS alone: any one column will do, the scan reads none.
+            # Rows are counted and nothing else, so the scan reads no column.
             return frame.select()
         return frame.select(*(F.col(c).alias(f"{table}__{c}") for c in sorted(columns)))
 

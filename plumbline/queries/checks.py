@@ -10,7 +10,7 @@ from plumbline.functions.names import stable_id
 from plumbline.metrics import Expr
 from plumbline.model import Model, Relationship, Table
 from plumbline.operators import lineage, profile
-from plumbline.plans.planner import joined_rows
+from plumbline.plans.compose import joined_rows
 from plumbline.queries.registry import case, rounded
 from plumbline.sources.tables import read_table
 from plumbline.star import derive_results, star

@@ -208,7 +208,7 @@ def selected_leg_switch(spark, path):
         round(greatest(a, b, d) - least(a, b, d), 6) END AS spread_rel FROM p""",
 )
 def within_group_percentile(spark, path):
-    from plumbline.plans.planner import joined_rows
+    from plumbline.plans.compose import joined_rows
 
     parts = ["part_a", "part_b", "part_d"]
     fields = ["orders.o_orderkey", NATION, "customer.c_mktsegment", *(f"orders.{p}" for p in parts)]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from plumbline.model import Model
-from plumbline.plans.planner import joined_rows
+from plumbline.plans.compose import joined_rows
 
 
 def wide_table(model: Model, fact: str, fields: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
