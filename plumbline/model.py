@@ -42,6 +42,8 @@ class Table:
     key: tuple[str, ...] = ()
     # Columns that store FALSE / TRUE as 0 / 1.
     flags: frozenset[str] = frozenset()
+    # Too large to broadcast: rows are reduced to its key before they meet it.
+    large: bool = False
 
 
 @dataclass(frozen=True)

@@ -86,6 +86,20 @@ class Leaf:
         return rows
 
 
+@dataclass(frozen=True)
+class Shrink:
+    """How to reduce a table before it meets its parents."""
+
+    keys: list[str]
+    aggregates: list[Column]
+    # Columns of the table and its parents that the last step still needs.
+    kept: set[str]
+    # Partial counts that only tell whether the key has visible rows.
+    ones: list[str]
+    # Aggregates that merge the partial results; None if they cannot be merged.
+    merges: list[Column] | None
+
+
 @dataclass
 class _Plan:
     model: Model
@@ -164,12 +178,12 @@ class _Plan:
         use=frozenset(),
         restrict=(),
         treat_as=(),
-        shrink: tuple[Sequence[str], Sequence[Column]] | None = None,
+        shrink: Shrink | None = None,
     ) -> DataFrame:
         """The table joined to just the parents that the fields live in.
 
-        ``shrink`` is (keys, aggregates): the visible rows of the table are
-        reduced to these before any parent is joined.
+        With ``shrink`` the visible rows are reduced before the first parent is
+        joined, and again before each later parent that is large.
         """
         predicates = sorted(predicates, key=_order)
         wanted: dict[str, set[str]] = {table: set()}
@@ -203,15 +217,24 @@ class _Plan:
         for (source, target), tests in treat_as:
             frame = self._keep_visible(frame, split_field(source)[0], [source], [target], tests, use)
         if shrink:
-            keys, aggregates = shrink
-            frame = frame.groupBy(*keys).agg(*aggregates)
-        for rel in sorted(links, key=lambda r: len(paths[r.one])):
+            frame = frame.groupBy(*shrink.keys).agg(*shrink.aggregates)
+            for name in shrink.ones:
+                frame = frame.withColumn(name, (F.col(name) > 0).cast("bigint"))
+        links = sorted(links, key=lambda r: len(paths[r.one]))
+        rest = [p for p in predicates if p not in own]
+        kept = {internal(f) for p in rest for f in p.fields} | (shrink.kept if shrink else set())
+        for i, rel in enumerate(links):
+            met = {table, *(r.one for r in links[:i])}
+            only_way = [r for r in links[i:] if r.many in met] == [rel]
+            if shrink and shrink.merges and i and only_way and self.model.table(rel.one).large:
+                keys = [f"{rel.many}__{a}" for a, _ in rel.on]
+                keys += [c for c in frame.columns if c in kept and c not in keys]
+                frame = frame.groupBy(*keys).agg(*shrink.merges)
             test = reduce(
                 and_,
                 [F.col(f"{rel.many}__{a}") == F.col(f"{rel.one}__{b}") for a, b in rel.on],
             )
             frame = frame.join(self._project(rel.one, wanted[rel.one]), test, "left")
-        rest = [p for p in predicates if p not in own]
         if rest:
             frame = frame.where(reduce(and_, [p.column(self.model) for p in rest]))
         return frame
@@ -264,15 +287,12 @@ class _Plan:
                 self._whole(leaf.agg, masks[leaf]).alias(self.leaves[leaf]) for leaf in leaves
             ]
         else:
-            own_keys, partials, later, key_counts = shrink
-            # Masks on parents still need their columns after the reduction.
-            after = [*first.by, *(f for mask in later.values() for p in mask for f in p.fields)]
-            frame = self.rows(
-                first.agg.table, self._inputs(leaves, masks, after), shared, *sources,
-                shrink=(own_keys, partials),
-            )
+            shrink, later, ones = shrink
+            frame = self.rows(first.agg.table, fields, shared, *sources, shrink=shrink)
             outs = [
-                self._merged(leaf, later[leaf], leaf in key_counts).alias(self.leaves[leaf])
+                self._merged(ones.get(leaf, leaf.agg), self.leaves[leaf], later[leaf]).alias(
+                    self.leaves[leaf]
+                )
                 for leaf in leaves
             ]
         if sets:
@@ -282,13 +302,6 @@ class _Plan:
             )
         return frame.groupBy(*keys).agg(*outs)
 
-    def _inputs(self, leaves, masks, after) -> list[str]:
-        fields = list(after)
-        for leaf in leaves:
-            fields += leaf.agg.expr.fields if leaf.agg.expr else ()
-            fields += [f for p in masks[leaf] for f in p.fields]
-        return fields
-
     def _shrink(self, leaves, masks, fields, sets):
         """Reduce the fact to one row per parent key before joining parents.
 
@@ -302,7 +315,7 @@ class _Plan:
         paths = self.model.paths(fact, first.use)
         parents = {split_field(f)[0] for f in fields} - {fact}
         hops = {paths[t][0] if t in paths else None for t in parents}
-        if len(hops) != 1 or None in hops:
+        if len(hops) != 1 or None in hops or not self.model.table(next(iter(hops)).one).large:
             return None
         parent_keys = [f"{fact}__{a}" for a, _ in next(iter(hops)).on]
         own_by = [internal(b) for b in first.by if split_field(b)[0] == fact]
@@ -317,19 +330,22 @@ class _Plan:
                 continue
             if leaf.agg.kind != "distinct_count" or not self._counts_key(leaf.agg, own_keys):
                 return None
-        partials, later = [], {}
+        partials, merges, later, ones = [], [], {}, {}
         for leaf in leaves:
             here = frozenset(p for p in masks[leaf] if _tables(p) <= {fact})
             later[leaf] = masks[leaf] - here
-            agg = leaf.agg
+            agg, name = leaf.agg, self.leaves[leaf]
             if agg.kind == "distinct_count" and self._counts_key(agg, own_keys):
-                agg = replace(agg, kind="count")
-            partials += self._partials(agg, self.leaves[leaf], here)
-        key_counts = {
-            leaf for leaf in leaves
-            if leaf.agg.kind == "distinct_count" and self._counts_key(leaf.agg, own_keys)
-        }
-        return own_keys, partials, later, key_counts
+                agg = ones[leaf] = replace(agg, kind="count")
+            for suffix, kind in _PARTS.get(agg.kind, {"": agg.kind}).items():
+                partials.append(self._whole(replace(agg, kind=kind), here).alias(name + suffix))
+                merges.append(_MERGES.get(kind, F.sum)(name + suffix).alias(name + suffix))
+        # Masks on parents still need their columns after the reduction.
+        kept = {internal(f) for mask in later.values() for p in mask for f in p.fields}
+        kept |= {internal(b) for b in first.by}
+        names = [self.leaves[leaf] for leaf in ones]
+        shrink = Shrink(own_keys, partials, kept, names, None if one_row_each else merges)
+        return shrink, later, ones
 
     @staticmethod
     def _counts_key(agg: m.Agg, own_keys: Sequence[str]) -> bool:
@@ -341,23 +357,8 @@ class _Plan:
         tests = [p.column(self.model) for p in sorted(mask, key=_order)]
         return reduce(and_, tests) if tests else None
 
-    def _partials(self, agg: m.Agg, name: str, mask: frozenset) -> list[Column]:
-        if agg.kind == "average":
-            kinds = {"": "sum", "__n": "column_count"}
-        elif agg.kind == "only_value":
-            kinds = {"": "min", "__high": "max", "__blanks": "blanks"}
-        else:
-            kinds = {"": agg.kind}
-        return [
-            self._whole(replace(agg, kind=kind), mask).alias(name + suffix)
-            for suffix, kind in kinds.items()
-        ]
-
-    def _merged(self, leaf: Leaf, mask: frozenset, counts_key: bool) -> Column:
-        agg, name, seen = leaf.agg, self.leaves[leaf], self._seen(mask)
-        if counts_key:
-            there = F.col(name) > 0
-            return F.count_if(there if seen is None else there & seen)
+    def _merged(self, agg: m.Agg, name: str, mask: frozenset) -> Column:
+        seen = self._seen(mask)
 
         def part(suffix="", merge=F.sum):
             column = F.col(name + suffix)
@@ -372,7 +373,7 @@ class _Plan:
             same = (part("__blanks") == 0) & (low == part("__high", F.max))
             return F.when(same, low)
         # A kind that cannot be merged is here as the only row of its group.
-        return part(merge=F.sum if agg.kind == "sum" else F.min if agg.kind == "min" else F.max)
+        return part(merge=F.sum if agg.kind == "sum" else _MERGES.get(agg.kind, F.max))
 
     def _whole(self, agg: m.Agg, mask: frozenset) -> Column:
         seen = self._seen(mask)
@@ -450,6 +451,13 @@ class _Plan:
 
 # Kinds whose values over parts of a group give the value over the group.
 _MERGEABLE = {"count", "column_count", "sum", "average", "min", "max", "only_value"}
+# What to keep per part of a group, where it is not the value itself.
+_PARTS = {
+    "average": {"": "sum", "__n": "column_count"},
+    "only_value": {"": "min", "__high": "max", "__blanks": "blanks"},
+}
+# How parts are merged, where it is not by adding them up.
+_MERGES = {"min": F.min, "max": F.max}
 _COUNTS = {"count", "column_count", "distinct_count"}
 
 

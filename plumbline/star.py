@@ -60,7 +60,10 @@ def star(spark: SparkSession, path: str) -> Model:
         "is_pro", F.col("c_mktsegment") == "BUILDING"
     )
     flags = {"orders": frozenset({"is_review"})}
-    tables = [Table(n, f, KEYS[n], flags.get(n, frozenset())) for n, f in frames.items()]
+    tables = [
+        Table(n, f, KEYS[n], flags.get(n, frozenset()), large=n not in ("nation", "region"))
+        for n, f in frames.items()
+    ]
     roles = {"asia": (Predicate("region.r_name", "ASIA"),)}
     return Model(tables, RELATIONSHIPS, METRICS, roles)
 

@@ -89,8 +89,8 @@ def test_iterator_and_nested_filters_fixture(spark):
 # -- a star with blanks and orphans ------------------------------------------
 
 
-@pytest.fixture(scope="module")
-def shop(spark):
+@pytest.fixture(scope="module", params=[False, True], ids=["small", "large"])
+def shop(spark, request):
     sales = spark.createDataFrame(
         [
             (1, "a", 10, "x", 5.0),
@@ -104,7 +104,7 @@ def shop(spark):
     items = spark.createDataFrame([("a", "toys"), ("b", "food"), ("unused", "food")], "item string, kind string")
     refunds = spark.createDataFrame([("a", 1), ("a", 2), ("unused", 4)], "item string, n int")
     return Model(
-        [Table("sales", sales, ("id",)), Table("items", items, ("item",)), Table("refunds", refunds)],
+        [Table("sales", sales, ("id",)), Table("items", items, ("item",), large=request.param), Table("refunds", refunds)],
         [
             Relationship("sales_items", "sales", "items", (("item", "item"),)),
             Relationship("refunds_items", "refunds", "items", (("item", "item"),)),
@@ -250,6 +250,87 @@ def test_masks_on_parents_survive_the_reduction(shop):
     }
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_chain_of_parents_gives_the_same_with_and_without_reduction(spark, large):
+    lines = [(i, i % 17 if i % 17 < 15 else None, i % 3, float(i % 7) if i % 5 else None) for i in range(400)]
+    fact = spark.createDataFrame(lines, "id int, o int, f int, v double")
+    orders = spark.createDataFrame([(i, i % 5 if i % 4 else None, "p" if i % 2 else "q") for i in range(14)], "o int, c int, s string")
+    people = spark.createDataFrame([(i, i % 2) for i in range(4)], "c int, n int")
+    places = spark.createDataFrame([(0, "x"), (1, "y")], "n int, name string")
+    model = Model(
+        [Table("fact", fact), Table("orders", orders, large=large), Table("people", people, large=large), Table("places", places)],
+        [
+            Relationship("1", "fact", "orders", (("o", "o"),)),
+            Relationship("2", "orders", "people", (("c", "c"),)),
+            Relationship("3", "people", "places", (("n", "n"),)),
+        ],
+    )
+    keep = lambda f, v: Predicate(f, v, keep=True)
+    wanted = {
+        "n": m.count("fact"),
+        "n_q": m.filtered_count("fact", keep("orders.s", "q")),
+        "n_x": m.filtered_count("fact", keep("places.name", "x"), keep("fact.f", 1)),
+        "total": m.total("fact.v"),
+        "a": m.average("fact.v"),
+        "lo": m.minimum("fact.v"),
+        "hi": m.maximum("fact.v"),
+        "keys": m.distinct_count("fact.o"),
+        "one": m.only_value("fact.f"),
+    }
+    o2c = {i: i % 5 if i % 4 else None for i in range(14)}
+    for by, filters in ((("places.name",), []), (("orders.s", "places.name"), []), (("places.name",), [Predicate("orders.s", "p")])):
+        got = query(model, wanted, by=by, filters=filters, rollup=True).collect()
+
+        def place(o):
+            c = o2c.get(o)
+            return {0: "x", 1: "y", 2: "x", 3: "y"}.get(c)
+
+        def status(o):
+            return None if o is None or o >= 14 else "p" if o % 2 else "q"
+
+        rows = [r for r in lines if not filters or status(r[1]) == "p"]
+        for row in got:
+            mine = [
+                r for r in rows
+                if (row.grouping_id & 1 or place(r[1]) == row["name"])
+                and (len(by) == 1 or row.grouping_id & 2 or status(r[1]) == row.s)
+            ]
+            values = [r[3] for r in mine if r[3] is not None]
+            assert row.n == len(mine)
+            assert row.n_q == sum(status(r[1]) == "q" for r in mine)
+            assert row.n_x == sum(place(r[1]) == "x" and r[2] == 1 for r in mine)
+            assert row.total == sum(values)
+            assert row.a == pytest.approx(sum(values) / len(values))
+            assert (row.lo, row.hi) == (min(values), max(values))
+            assert row["keys"] == len({r[1] for r in mine})
+            assert row.one is None
+
+
+def test_branching_parents_give_the_same_with_and_without_reduction(spark):
+    fact = spark.createDataFrame([(i % 11, float(i)) for i in range(100)], "o int, v double")
+    orders = spark.createDataFrame([(i, i % 4, i % 3) for i in range(10)], "o int, c int, h int")
+    people = spark.createDataFrame([(i, i % 2) for i in range(4)], "c int, n int")
+    shops = spark.createDataFrame([(i, f"s{i}") for i in range(3)], "h int, label string")
+    places = spark.createDataFrame([(0, "x"), (1, "y")], "n int, name string")
+    results = []
+    for large in (False, True):
+        frames = {"fact": fact, "orders": orders, "people": people, "shops": shops, "places": places}
+        model = Model(
+            [Table(n, f, large=large) for n, f in frames.items()],
+            [
+                Relationship("1", "fact", "orders", (("o", "o"),)),
+                Relationship("2", "orders", "people", (("c", "c"),)),
+                Relationship("3", "orders", "shops", (("h", "h"),)),
+                Relationship("4", "people", "places", (("n", "n"),)),
+            ],
+        )
+        wanted = {"n": m.count("fact"), "v": m.total("fact.v")}
+        got = query(model, wanted, by=["places.name", "shops.label"]).collect()
+        results.append(sorted(map(repr, got)))
+    assert results[0] == results[1]
+    assert len(results[0]) == 7
+
+
 def test_average_over_keys_and_groups_meeting(shop):
     rate = m.ratio(m.filtered_count("sales", Predicate("sales.flag", "x", keep=True)), m.count("sales"))
     wanted = {
