@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from plumbline import query
 from plumbline.queries.registry import case, rounded
-from plumbline.star import METRICS, star
+from plumbline.star import CANONICAL, METRICS, star
+
+CORPUS = [name for name in METRICS if name not in CANONICAL]
 
 _ORDER_METRICS = """count(*) AS result_rows, count(DISTINCT o_custkey) AS events,
       CAST(sum(part_a) AS BIGINT) AS a_total, CAST(sum(part_b) AS BIGINT) AS b_total,
@@ -66,7 +68,7 @@ _ORDER_METRICS = """count(*) AS result_rows, count(DISTINCT o_custkey) AS events
     FROM a, b, e, t, k, d""",
 )
 def agg_overall(spark, path):
-    frame = query(star(spark, path), list(METRICS))
+    frame = query(star(spark, path), CORPUS)
     return rounded(frame, abc_stddev=4, nominal_total=2, split_delta=2, nc_discount_total=2)
 
 
@@ -191,3 +193,22 @@ def pack_leg(spark, path):
         "complete_coverage", "mismatch_rows", "split_delta", "nc_fanned_b",
     ]
     return rounded(query(star(spark, path), wanted, by=["lineitem.l_linenumber"])).orderBy("l_linenumber")
+
+
+@case(
+    "pack_canonical",
+    """WITH $RESULTS, a AS (SELECT year, count(*) AS all_rows, count(*) FILTER (WHERE is_closed) AS finishers,
+      count(*) FILTER (WHERE is_valid) AS valid_finishers, count(*) FILTER (WHERE is_review = 1) AS any_review_rows,
+      count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent_rows,
+      count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS low_rows,
+      round(quantile_cont(o_totalprice, 0.5), 4) AS median_price,
+      round(quantile_cont(part_a::DOUBLE, 0.5), 4) AS median_a,
+      round(quantile_cont(part_b::DOUBLE, 0.5), 4) AS median_b,
+      round(quantile_cont(part_c::DOUBLE, 0.5), 4) AS median_c FROM o GROUP BY 1)
+    SELECT *, round(any_review_rows::DOUBLE / valid_finishers, 6) AS review_flag_rate,
+      round(urgent_rows::DOUBLE / valid_finishers, 6) AS urgent_rate,
+      round(low_rows::DOUBLE / valid_finishers, 6) AS low_rate FROM a""",
+)
+def pack_canonical(spark, path):
+    medians = dict.fromkeys(["median_price", "median_a", "median_b", "median_c"], 4)
+    return rounded(query(star(spark, path), list(CANONICAL), by=["orders.year"]), **medians)

@@ -19,7 +19,7 @@ CASES: dict[str, Case] = {}
 
 # The derived columns of ``plumbline.star.derive_results``.
 RESULTS = """o AS (
-  SELECT *, CAST(o_orderdate AS DATE) AS day,
+  SELECT *, CAST(o_orderdate AS DATE) AS day, CAST(year(o_orderdate) AS INTEGER) AS year,
     CAST(floor(o_totalprice * 0.1::DOUBLE) AS BIGINT) AS part_a,
     CASE WHEN o_orderpriority <> '5-LOW'
       THEN CAST(floor(o_totalprice * 0.5::DOUBLE) AS BIGINT) END AS part_b,

@@ -39,6 +39,7 @@ def derive_results(orders: DataFrame) -> DataFrame:
     return orders.withColumns(
         {
             "day": F.col("o_orderdate").cast("date"),
+            "year": F.year("o_orderdate"),
             "part_a": F.floor(price * 0.1),
             "part_b": F.when(priority != "5-LOW", F.floor(price * 0.5)),
             "part_c": F.floor(price * 0.3),
@@ -161,3 +162,24 @@ METRICS = {
     "nc_valid_rate": "valid_rate",
     "nc_fanned_b": m.total("orders.part_b", table="lineitem"),
 }
+
+# The smaller canonical set: plain filters, rates over valid rows, medians.
+_FLAGGED = {
+    "finishers": Predicate("orders.is_closed", True),
+    "valid_finishers": Predicate("orders.is_valid", True),
+    "any_review_rows": Predicate("orders.is_review", True),
+    "urgent_rows": Predicate("orders.o_orderpriority", "1-URGENT"),
+    "low_rows": Predicate("orders.o_orderpriority", "5-LOW"),
+}
+CANONICAL = {
+    "all_rows": m.count("orders"),
+    **{name: m.filtered_count("orders", test) for name, test in _FLAGGED.items()},
+    "review_flag_rate": m.ratio("any_review_rows", "valid_finishers"),
+    "urgent_rate": m.ratio("urgent_rows", "valid_finishers"),
+    "low_rate": m.ratio("low_rows", "valid_finishers"),
+    "median_price": m.median("orders.o_totalprice"),
+    "median_a": m.median("orders.part_a"),
+    "median_b": m.median("orders.part_b"),
+    "median_c": m.median("orders.part_c"),
+}
+METRICS |= CANONICAL

@@ -17,6 +17,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.autoBroadcastJoinThreshold", os.environ.get("TEST_BROADCAST", "10MB"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
