@@ -23,8 +23,11 @@ ACCURACY = 10 * 2**STEPS
 
 
 def _cut_points(value: str) -> Column:
-    points = ", ".join(f"{i / 2**STEPS}D" for i in range(1, 2**STEPS))
-    return F.expr(f"percentile_approx(`{value}`, array({points}), {ACCURACY})")
+    # One text literal keeps the plan small.
+    points = ",".join(str(i / 2**STEPS) for i in range(1, 2**STEPS))
+    return F.expr(
+        f"percentile_approx(`{value}`, cast(split('{points}', ',') as array<double>), {ACCURACY})"
+    )
 
 
 def _range_of(frame: DataFrame, value: str) -> DataFrame:
@@ -33,14 +36,12 @@ def _range_of(frame: DataFrame, value: str) -> DataFrame:
     Each step refers to the one before, which keeps the search in generated
     code. Without cut points everything is in range 0.
     """
-    steps = [F.lit(0).alias("__r0")]
+    steps = ["0 AS __r0"]
     for i, step in enumerate(2**k for k in reversed(range(STEPS))):
-        so_far = F.col(f"__r{i}")
-        up = F.col(value) >= F.get("__cuts", so_far + F.lit(step - 1))
-        steps.append((so_far + F.when(up, step).otherwise(0)).alias(f"__r{i + 1}"))
-    return frame.select(
-        *frame.columns, *steps, F.col(f"__r{STEPS}").alias("__range")
-    ).drop(*(f"__r{i}" for i in range(STEPS + 1)))
+        up = f"`{value}` >= get(__cuts, __r{i} + {step - 1})"
+        steps.append(f"__r{i} + if({up}, {step}, 0) AS __r{i + 1}")
+    placed = frame.selectExpr("*", *steps, f"__r{STEPS} AS __range")
+    return placed.select(*frame.columns, "__range")
 
 
 def _keyed(frame: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:

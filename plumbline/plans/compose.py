@@ -82,7 +82,7 @@ class Leaf:
         """Leaves with an equal group share one plan."""
         rows = (self.agg.table, self.by, self.use, self.restrict, self.treat_as)
         if self.agg.kind == "percentile":
-            return (*rows, "percentile", self.agg.expr, self.mask, self.outer)
+            return (*rows, "percentile")
         return rows
 
 
@@ -147,7 +147,11 @@ class _Plan:
 
     def leaf(self, agg: m.Agg, ctx: Context) -> str:
         reach = self.model.paths(agg.table, ctx.use)
-        by = tuple(b for b in ctx.by if split_field(b)[0] in reach)
+        by = tuple(
+            b for b in ctx.by
+            if split_field(b)[0] in reach
+            or self.model.reverse_path(agg.table, split_field(b)[0], ctx.use)
+        )
         filters, outer, back = set(), set(), {}
         for p in (*ctx.filters, *ctx.fixed):
             table = split_field(p.field)[0]
@@ -191,10 +195,16 @@ class _Plan:
         paths = self.model.paths(table, use)
         targets = [pair[1] for pair, _ in treat_as]
         targets += [f"{table}.{c}" for _, path, _ in restrict for _, c in path[-1].on]
+        children: dict[tuple, list[str]] = {}
         for name in (*fields, *targets, *(f for p in predicates for f in p.fields)):
             owner, column = split_field(name)
             if owner not in paths:
-                raise ModelError(f"{name} cannot be reached from {table}")
+                path = self.model.reverse_path(table, owner, use)
+                if not path:
+                    raise ModelError(f"{name} cannot be reached from {table}")
+                children.setdefault((owner, path), []).append(name)
+                wanted[table] |= {b for _, b in path[-1].on}
+                continue
             wanted.setdefault(owner, set()).add(column)
             for rel in paths[owner]:
                 if rel not in links:
@@ -214,6 +224,8 @@ class _Plan:
             frame = self._keep_visible(
                 frame, other, keys, [f"{table}.{b}" for _, b in last.on], tests, use
             )
+        for (owner, path), names in children.items():
+            frame = self._spread(frame, table, owner, path, names, restrict, use)
         for (source, target), tests in treat_as:
             frame = self._keep_visible(frame, split_field(source)[0], [source], [target], tests, use)
         if shrink:
@@ -239,6 +251,21 @@ class _Plan:
             frame = frame.where(reduce(and_, [p.column(self.model) for p in rest]))
         return frame
 
+    def _spread(self, frame, table, owner, path, names, restrict, use) -> DataFrame:
+        """Rows once per member of a child column they are linked to."""
+        on = path[-1]
+        tests = {p for other, way, ps in restrict if (other, way) == (owner, path) for p in ps}
+        keys = [f"{on.many}.{a}" for a, _ in on.on]
+        linked = self.rows(owner, [*names, *keys], tests, use)
+        linked = linked.select(
+            *dict.fromkeys(internal(n) for n in names),
+            *(F.col(internal(k)).alias(f"__c{i}") for i, k in enumerate(keys)),
+        ).distinct()
+        test = reduce(
+            and_, [F.col(f"{table}__{b}") == F.col(f"__c{i}") for i, (_, b) in enumerate(on.on)]
+        )
+        return frame.join(linked, test, "inner")
+
     def _keep_visible(self, frame, table, sources, targets, tests, use) -> DataFrame:
         names = [f"__s{i}" for i in range(len(sources))]
         keys = (
@@ -272,12 +299,7 @@ class _Plan:
         sources = (first.use, first.restrict, first.treat_as)
         if first.agg.kind == "percentile":
             frame = self.rows(first.agg.table, fields, shared, *sources)
-            value = frame.select(*keys, first.agg.expr.column(self.model).alias("__value"))
-            if sets:
-                value = _expand(value, first.by, sets)
-                keys = [*keys, "grouping_id"]
-            points = {self.leaves[leaf]: leaf.agg.p for leaf in leaves}
-            return ordered.percentiles(value, keys, "__value", points)
+            return self._percentiles(frame, leaves, shared, sets)
 
         masks = {leaf: (leaf.outer | leaf.mask) - shared for leaf in leaves}
         shrink = self._shrink(leaves, masks, fields, sets)
@@ -302,6 +324,39 @@ class _Plan:
             )
         return frame.groupBy(*keys).agg(*outs)
 
+    def _percentiles(self, frame, leaves, shared, sets: Sets | None) -> DataFrame:
+        """All percentiles of one set of rows: the values are stacked, so that
+        several expressions take one scan and one ordering."""
+        keys = [internal(b) for b in leaves[0].by]
+        inputs: dict[tuple, int] = {}
+        for leaf in leaves:
+            inputs.setdefault((leaf.agg.expr, (leaf.outer | leaf.mask) - shared), len(inputs))
+        points = {self.leaves[leaf]: leaf.agg.p for leaf in leaves}
+        if len(inputs) == 1:
+            # A mask that all leaves have is shared and already applied.
+            (expr, _), = inputs
+            rows = frame.select(*keys, expr.column(self.model).alias("__value"))
+            if sets:
+                rows = _expand(rows, leaves[0].by, sets)
+                keys = [*keys, "grouping_id"]
+            return ordered.percentiles(rows, keys, "__value", points)
+        values = []
+        for (expr, mask), which in inputs.items():
+            value, seen = expr.column(self.model), self._seen(mask)
+            value = value if seen is None else F.when(seen, value)
+            values.append(F.struct(F.lit(which).alias("__which"), value.alias("__value")))
+        rows = frame.select(*keys, F.explode(F.array(*values)).alias("__in"))
+        rows = rows.select(*keys, "__in.*").where(F.col("__value").isNotNull())
+        if sets:
+            rows = _expand(rows, leaves[0].by, sets)
+            keys = [*keys, "grouping_id"]
+        found = ordered.percentiles(rows, [*keys, "__which"], "__value", points)
+        outs = []
+        for leaf in leaves:
+            name, which = self.leaves[leaf], inputs[leaf.agg.expr, (leaf.outer | leaf.mask) - shared]
+            outs.append(F.max(F.when(F.col("__which") == which, F.col(name))).alias(name))
+        return found.groupBy(*keys).agg(*outs)
+
     def _shrink(self, leaves, masks, fields, sets):
         """Reduce the fact to one row per parent key before joining parents.
 
@@ -580,8 +635,9 @@ def _expand(frame: DataFrame, by: Sequence[str], sets: Sets) -> DataFrame:
         )
         for one in sets
     ]
-    spread = frame.select("__value", F.explode(F.array(*copies)).alias("__copy"))
-    return spread.select("__copy.*", "__value")
+    others = [c for c in frame.columns if c not in map(internal, by)]
+    spread = frame.select(*others, F.explode(F.array(*copies)).alias("__copy"))
+    return spread.select("__copy.*", *others)
 
 
 def _one_pass(model, values, ctx: Context) -> dict[str, object]:

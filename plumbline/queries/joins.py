@@ -72,6 +72,17 @@ def bidirectional_semi(spark, path):
     return query(star(spark, path), wanted, by=["region.r_name"])
 
 
+@case(
+    "bidirectional_group",
+    """SELECT o_orderstatus, c_mktsegment, count(DISTINCT c_custkey) AS customers
+    FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""",
+)
+def bidirectional_group(spark, path):
+    # Customers seen in each status: the orders filter them through a two-way link.
+    by = ["orders.o_orderstatus", "customer.c_mktsegment"]
+    return query(star(spark, path), {"customers": m.count("customer")}, by=by)
+
+
 @case(
     "alternate_relationship",
     """WITH $SPLITS, a AS (SELECT n_name, count(*) AS by_customer FROM s GROUP BY 1),

@@ -66,6 +66,14 @@ def test_many_side_filters_the_one_side_when_marked(traps):
     assert query(one_way, {"n": members}).first().n == 3
 
 
+def test_grouping_by_the_many_side_when_marked(traps):
+    members = {"n": m.count("d")}
+    got = rows_of(query(traps, members, by=["f.is_valid"]), "is_valid")
+    assert {k[0]: r.n for k, r in got.items()} == {1: 1, 0: 1}
+    got = rows_of(query(traps, members, by=["f.is_valid", "d.label"], filters=[Predicate("f.row_id", 1)]), "is_valid", "label")
+    assert {k: r.n for k, r in got.items()} == {(1, "x"): 1}
+
+
 def test_iterator_and_nested_filters_fixture(spark):
     fact = spark.createDataFrame(
         [(1, 10.0, 20260101, 20250101), (2, 20.0, 20260102, 20250102)],
