@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.html_text import extract_text
+from plumbline.llm.neighbour_quality import score_quality
 from plumbline.llm.packed_ids import read_packed, write_packed
+from plumbline.llm.quality_rules import quality_rules
 from plumbline.llm.sentencepieces import encode_pieces
 from plumbline.llm.shared import documents, shared_folder
 from plumbline.llm.token_counts import count_tokens
+from plumbline.llm.url_filter import judge_urls
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 TOKEN_LIMIT = 512
+QUALITY_CUT = 0.7
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word statistics and verdict of every document."""
+    return quality_rules(documents(spark, sf_dir))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +33,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def held_out(doc_id: str) -> Column:
+    """Rows that no label may be learnt from."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2
+
+
+def op4_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out("doc_id"))
+    scores = score_quality(documents(spark, sf_dir), labels)
+    return scores.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of ids, spans and decoded text of every document."""
     out = encode_pieces(documents(spark, sf_dir), public_tokenizers.path(PIECE_BPE))
@@ -37,6 +60,13 @@ def piece_digests() -> list:
     ]
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL; the list holds the URLs of pages that came broken off, without an end tag."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    listed = pages.where(~F.col("html").contains("</html>")).select("url")
+    return judge_urls(pages, listed, URL_RULES)
+
+
 def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every document's ids lie in the written files, and their checksum as read back."""
     folder = shared_folder(spark)
@@ -44,10 +74,43 @@ def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packed(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
+    "op4_neighbour_quality": op4_neighbour_quality,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_url_filter": op7_url_filter,
     "op8_packed_ids": op8_packed_ids,
+    "op10_html_text": op10_html_text,
 }
 
-SQL: dict[str, str] = {}
+_CANONICAL = """
+    case when host <> '' then regexp_replace(host, '^(www|m)[.]', '')
+        || regexp_replace(regexp_replace(path, '/index[.]html?$', ''), '/+$', '')
+        || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end end"""
+
+SQL = {
+    "op7_url_filter": rf"""
+with parts as (
+    select page_id, html, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+split as (
+    select page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+        list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+            lambda p: p <> '' and not regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) as params from parts),
+keyed as (select *, {_CANONICAL} as key,
+    case when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/en/') then 'example.net/en/'
+        when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/de/') then 'example.com/de/'
+        when (host = 'org' or host like '%.org') and starts_with(path, '/fr/') then 'org/fr/'
+        when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end as rule from split),
+listed as (select distinct key from keyed where not contains(html, '</html>') and key is not null)
+select page_id, host, path, rule,
+    case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+        when key in (select key from listed) then 'block' else 'allow' end as verdict
+from keyed""",
+}
