@@ -10,6 +10,7 @@ from plumbline.llm.html_text import extract_text
 from plumbline.llm.neighbour_quality import score_quality
 from plumbline.llm.packed_ids import read_packed, write_packed
 from plumbline.llm.quality_rules import quality_rules
+from plumbline.llm.secret_scan import find_secrets, joined
 from plumbline.llm.sentencepieces import encode_pieces
 from plumbline.llm.shared import documents, shared_folder
 from plumbline.llm.token_counts import count_tokens
@@ -27,6 +28,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    found = find_secrets(documents(spark, sf_dir))
+    known = F.filter("spans", lambda s: s["kind"] != "random")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(joined(known), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("random").alias("n_random"),
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     counts = count_tokens(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
@@ -81,6 +93,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_secret_scan": op2_secret_scan,
     "op3_token_counts": op3_token_counts,
     "op4_neighbour_quality": op4_neighbour_quality,
     "op5_sentencepiece": op5_sentencepiece,
