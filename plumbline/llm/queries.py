@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.decontaminate import decontaminate
 from plumbline.llm.html_text import extract_text
 from plumbline.llm.neighbour_quality import score_quality
 from plumbline.llm.packed_ids import read_packed, write_packed
@@ -72,6 +73,11 @@ def piece_digests() -> list:
     ]
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that every document holds, literally or with other numbers, names and units."""
+    return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL; the list holds the URLs of pages that came broken off, without an end tag."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -97,6 +103,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_neighbour_quality": op4_neighbour_quality,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_decontaminate": op6_decontaminate,
     "op7_url_filter": op7_url_filter,
     "op8_packed_ids": op8_packed_ids,
     "op10_html_text": op10_html_text,

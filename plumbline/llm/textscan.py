@@ -63,6 +63,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """A copy with A-Z and the letters U+00C0 to U+00DE in lower case."""
+    out = LOWER[data]
+    if len(data) > 1:
+        upper = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][upper] += 32
+    return out
+
+
 class Hasher:
     """64-bit hashes of any spans of one chunk."""
 
