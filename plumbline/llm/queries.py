@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.decontaminate import decontaminate
 from plumbline.llm.html_text import extract_text
+from plumbline.llm.jaccard_join import jaccard_components
 from plumbline.llm.neighbour_quality import score_quality
 from plumbline.llm.packed_ids import read_packed, write_packed
 from plumbline.llm.quality_rules import quality_rules
@@ -92,6 +93,11 @@ def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packed(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return jaccard_components(documents(spark, sf_dir), shared_folder(spark))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -106,6 +112,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_url_filter": op7_url_filter,
     "op8_packed_ids": op8_packed_ids,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_html_text": op10_html_text,
 }
 
