@@ -141,8 +141,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, labe
     return counts, np.array([r["label"] for r in rows], np.int64)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", keep: tuple[str, ...] = (), sample: int = SAMPLE) -> DataFrame:
-    """One row for each row: id, kept columns, and score, the weighted share of label 1 among its neighbours.
+def score_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", keep: tuple[str, ...] = (), sample: int = SAMPLE, score: str = "score") -> DataFrame:
+    """One row for each row: id, kept columns (the text may be one), and score, the weighted share of label 1 among its neighbours.
 
     Only the text is an input of a score. `labels` holds id and label; rows that must not be learnt from are to be
     left out of it. Null and empty texts, and all texts where there are no labels, get the prior share of label 1
@@ -155,9 +155,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in text_chunks(batch.column(batch.num_columns - 1)):
-                score = shared.value.scores(term_counts(data, offsets))
-                kept = [batch.column(c)[low:high] for c in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(score)], names=[id, *keep, "score"])
+                found = shared.value.scores(term_counts(data, offsets))
+                kept = [batch.column(at)[low:high] for at in places]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(found)], names=[id, *keep, score])
 
+    sent = [id, *(c for c in keep if c not in (id, text)), text]
+    places = [sent.index(c) for c in (id, *keep)]
     names = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id, *keep))
-    return docs.select(id, *keep, text).mapInArrow(run, f"{names}, score double")
+    return docs.select(*sent).mapInArrow(run, f"{names}, `{score}` double")

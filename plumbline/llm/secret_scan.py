@@ -10,6 +10,8 @@ band, so short strings are not dismissed by many weak tests; those left, with en
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,21 +44,21 @@ STEPS = 400
 
 def _matches(text: Column, pattern: str, value_group: int = 0) -> Column:
     """Array of (start, end, whole, value) of the leftmost non-overlapping matches, in code points."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    between = F.split(text, pattern, -1)
+    found = {"gap": F.split(text, pattern, -1), "whole": F.regexp_extract_all(text, F.lit(pattern), F.lit(0))}
+    if value_group:
+        found["value"] = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
     empty = F.array().cast("array<struct<start:int,end:int,whole:string,value:string>>")
-    pairs = F.arrays_zip(between.alias("gap"), whole.alias("whole"), value.alias("value"))
-    pairs = F.slice(F.transform(pairs, lambda p: F.struct(p["gap"].alias("gap"), p["whole"].alias("whole"), p["value"].alias("value"))), F.lit(1), F.size(whole))
+    # There is one gap more than matches: the text after the last one.
+    pairs = F.filter(F.arrays_zip(*(x.alias(n) for n, x in found.items())), lambda p: p["whole"].isNotNull())
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.length(p["gap"])
         end = start + F.length(p["whole"])
-        one = F.struct(start.alias("start"), end.alias("end"), p["whole"].alias("whole"), p["value"].alias("value"))
+        one = F.struct(start.alias("start"), end.alias("end"), p["whole"].alias("whole"), p["value" if value_group else "whole"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    return F.when(text.rlike(pattern), spans).otherwise(empty)
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -69,12 +71,22 @@ def known_spans(text: Column) -> Column:
     return F.concat(_spans(assigned, "assign"), _spans(_matches(text, ACCESS), "access"), _spans(_matches(text, HEX), "hex"))
 
 
-def _upper_tail(z: Column) -> Column:
-    """P(Z > z) of the standard normal for any z, within 1e-7 (polynomial approximation 26.2.17)."""
-    t = F.lit(1.0) / (F.lit(1.0) + 0.2316419 * F.abs(z))
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-z * z / 2) / 2.5066282746310002 * poly
-    return F.greatest(F.when(z >= 0, tail).otherwise(F.lit(1.0) - tail), F.lit(1e-300))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: the only element of an array is bound to a variable."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _minus_log_tail(z: Column, sides: int) -> Column:
+    """-log P(Z > z), or of both tails, of the standard normal, within 1e-7 (polynomial approximation 26.2.17)."""
+
+    def tail(z: Column) -> Column:
+        t = F.lit(1.0) / (F.lit(1.0) + 0.2316419 * F.abs(z))
+        poly = _let(t, lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))))
+        upper = F.exp(-z * z / 2) / 2.5066282746310002 * poly
+        return F.when(z >= 0, upper).otherwise(F.lit(1.0) - upper)
+
+    p = _let(F.abs(z), tail) * 2 if sides == 2 else _let(z, tail)
+    return -F.log(F.least(F.lit(1.0), F.greatest(F.lit(1e-300), p)))
 
 
 def randomness(token: Column) -> Column:
@@ -96,14 +108,14 @@ def randomness(token: Column) -> Column:
         runs = (turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)
         middle = (k - 1) / 2
         serial = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - middle) * (p["b"] - middle)) / ((k * k - 1) / 12) / F.sqrt(n - 1)
-        y = -F.log(_upper_tail(uneven)) - F.log(F.least(F.lit(1.0), 2 * _upper_tail(F.abs(runs)))) - F.log(F.least(F.lit(1.0), 2 * _upper_tail(F.abs(serial))))
-        p = F.greatest(F.exp(-y) * (1 + y + y * y / 2), F.lit(1e-300))
-        return F.struct(parts["encoding"].alias("encoding"), n.cast("int").alias("n"), (n * F.log2(k)).alias("bits"), F.least(F.lit(STEPS), F.floor(-F.log(p) * 10)).cast("int").alias("step"))
+        total = _minus_log_tail(uneven, 1) + _minus_log_tail(runs, 2) + _minus_log_tail(serial, 2)
+        p = _let(total, lambda y: F.exp(-y) * (1 + y + y * y / 2))
+        step = F.least(F.lit(STEPS), F.floor(-F.log(F.greatest(p, F.lit(1e-300))) * 10)).cast("int")
+        return F.struct(parts["encoding"].alias("encoding"), n.cast("int").alias("n"), (n * F.log2(k)).alias("bits"), step.alias("step"))
 
     chars = F.filter(F.split(body, ""), lambda c: c != "")
     parts = F.struct(encoding.alias("encoding"), F.transform(chars, lambda c: F.instr(letters, c) - 1).alias("places"), F.length(letters).alias("k"))
-    # A one-element array binds the parts once for all the tests that read them.
-    return F.transform(F.array(parts), lambda x: F.when(x["encoding"].isNotNull(), tests(x)))[0]
+    return _let(parts, lambda x: F.when(x["encoding"].isNotNull(), tests(x)))
 
 
 def _band(encoding: Column, n: Column) -> Column:
@@ -131,13 +143,11 @@ def dismissal_steps(docs: DataFrame, text: str = "text", rate: float = FALSE_DIS
 
 def all_spans(text: Column, steps: dict[str, int]) -> Column:
     """Known spans, and random ones that no known span covers, by start and kind."""
-    known = known_spans(text)
+    limits = F.create_map(*(F.lit(x) for pair in sorted({"": STEPS + 1, **steps}.items()) for x in pair))
+
     def accepted(c: Column) -> Column:
         t = c["test"]
-        band = _band(t["encoding"], t["n"])
-        limit = F.lit(STEPS + 1)
-        for name, step in sorted(steps.items()):
-            limit = F.when(band == name, step).otherwise(limit)
+        limit = F.coalesce(limits[_band(t["encoding"], t["n"])], F.lit(STEPS + 1))
         return t["encoding"].isNotNull() & (t["bits"] >= MIN_BITS) & (t["step"] < limit)
 
     def both(known: Column) -> Column:
@@ -145,17 +155,17 @@ def all_spans(text: Column, steps: dict[str, int]) -> Column:
         new = F.filter(random, lambda c: ~F.exists(known, lambda k: (k["start"] <= c["start"]) & (c["end"] <= k["end"])))
         return F.array_sort(F.concat(known, _spans(new, "random")))
 
-    return F.transform(F.array(known), both)[0]
+    return _let(known_spans(text), both)
 
 
-def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), rate: float = FALSE_DISMISSALS) -> DataFrame:
+def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), rate: float = FALSE_DISMISSALS, spans: str = "spans") -> DataFrame:
     """One row for each row: id, kept columns, and spans, an array of (start, end, rank, kind) by start and kind.
 
     Positions are code points, the end exclusive. A null text is read as empty; it and an empty one have no spans.
     Repeated rows give a row each; columns that are not named are not read; an empty table gives an empty result.
     """
     steps = dismissal_steps(docs, text, rate)
-    return docs.select(id, *keep, all_spans(F.coalesce(F.col(text), F.lit("")), steps).alias("spans"))
+    return docs.select(id, *keep, all_spans(F.coalesce(F.col(text), F.lit("")), steps).alias(spans))
 
 
 def mask(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
