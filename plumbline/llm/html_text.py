@@ -186,6 +186,8 @@ def _nearest(found: list[Block], order: range) -> list[tuple[int, bool]]:
         b = found[k]
         if b.region != region:
             region, distance, label = b.region, 0, b.region > 0
+        if b.bad and b.region:  # a container inside the article says nothing about the blocks around it
+            continue
         distance += 1
         out[k] = distance, label
         if b.good is not None:

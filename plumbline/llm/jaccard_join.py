@@ -39,7 +39,7 @@ def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     tops, parts, empty = [1], [], []
     while tops[-1] < 1 << 40:
-        tops.append(max(tops[-1] + 1, 100 * tops[-1] // percent))
+        tops.append(max(tops[-1] + 1, 100 * tops[-1] // percent, 21 * tops[-1] // 20))
     for c, top in enumerate(tops):
         differ = 2 * top * (100 - percent) // (100 + percent)
         least = 1 if c < 2 else tops[c - 2] + 1

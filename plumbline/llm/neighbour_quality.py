@@ -4,7 +4,7 @@ A text is a bag of hashed terms: its words, the shapes of its words (classes of
 terms for repeated words and repeated runs of words. Weights are log counts times inverse document frequency, and a
 truncated singular value decomposition of a bounded labelled sample gives the latent space. The sample's vectors
 are sent to every worker (at most SAMPLE x RANK floats); each text is compared with all of them by blocked
-cosine products, and its NEIGHBOURS nearest vote with their similarity as weight.
+cosine products, and its nearest NEIGHBOURS (in a small sample its square root) vote with their similarity as weight.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ class Space:
         out = np.full(len(counts), self.prior)
         if not len(self.labels):
             return out
-        k = min(NEIGHBOURS, len(self.labels))
+        k = min(NEIGHBOURS, int(np.ceil(np.sqrt(len(self.labels)))))
         for low in range(0, len(counts), BLOCK):
             rows = self.project(counts[low : low + BLOCK])
             close = rows @ self.vectors.T

@@ -176,7 +176,7 @@ def write_packed(
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["shard", "path", "n_docs", "n_tokens"])
 
     key = F.col(id).cast("long")
-    rows = docs.select(F.coalesce(_shard_of(key, cuts), F.lit(0)).cast("long").alias("shard"), key.alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.when(key.isNull(), 0).otherwise(_shard_of(key, cuts)).cast("long").alias("shard"), key.alias("id"), F.col(text).alias("text"))
     rows = rows.mapInArrow(encode, "shard long, id long, n long, ids binary")
     ordered = rows.repartitionById(len(cuts) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "ids")
     return saved(ordered.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long"), folder, "manifest")
