@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.model import Model
-from plumbline.operators.reconcile import numbers_match
+from plumbline.operators.reconcile import numbers_match, values_match
 
 
 def relationship_profile(model: Model, names: Sequence[str] | None = None) -> DataFrame:
@@ -143,9 +143,8 @@ def outside_population(rows: DataFrame, by: Sequence[str], numerator: Column, de
 
 
 def same_value(results: DataFrame, left: str, right: str, name: str = "same") -> DataFrame:
-    return results.withColumn(
-        name, numbers_match(F.col(left).cast("double"), F.col(right).cast("double"))
-    )
+    kinds = [results.schema[c].dataType for c in (left, right)]
+    return results.withColumn(name, values_match(F.col(left), F.col(right), *kinds))
 
 
 def unique_not_null(frame: DataFrame, unique: Sequence[str], not_null: Sequence[str]) -> DataFrame:
@@ -181,11 +180,14 @@ def exclusion_proof(rows: DataFrame, flag: Column, excluded: Column, by: Sequenc
 SEVERITIES = ("BLOCKER", "ERROR", "WARNING", "INFO")
 
 
-def findings_summary(findings: DataFrame) -> DataFrame:
-    """Counts by severity and code without repeated findings, worst first."""
+def findings_summary(findings: DataFrame, identity: str = "finding_id") -> DataFrame:
+    """Counts by severity and code without repeated findings, worst first.
+
+    ``identity`` tells findings apart: give a full hash, not the short display id.
+    """
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
     return (
-        findings.dropDuplicates(["finding_id"])
+        findings.dropDuplicates(["code", identity])
         .groupBy("severity", "code")
         .agg(F.count("*").alias("findings"))
         .withColumn("severity_rank", rank)

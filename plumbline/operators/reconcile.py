@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from plumbline.operators.attach import align, attach
 from plumbline.sources.evidence import evidence_rows
@@ -31,6 +32,17 @@ def _finite(value: Column) -> Column:
     return ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
 
 
+def is_whole(kind: T.DataType) -> bool:
+    return isinstance(kind, T.IntegralType) or (isinstance(kind, T.DecimalType) and kind.scale == 0)
+
+
+def values_match(left: Column, right: Column, left_type: T.DataType, right_type: T.DataType) -> Column:
+    """Typed numbers: two integers compare exactly, anything else within tolerance."""
+    if is_whole(left_type) and is_whole(right_type):
+        return left.eqNullSafe(right)
+    return numbers_match(left.cast("double"), right.cast("double"))
+
+
 def texts_match(value_type: Column, left: Column, right: Column) -> Column:
     """Numbers given as JSON text. Two integers compare exactly even under a
     decimal label; under an integer label anything else is no match."""
@@ -47,20 +59,34 @@ def texts_match(value_type: Column, left: Column, right: Column) -> Column:
     )
 
 
-def compare_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+def compare_cells(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], value: str = "value", whole: str = "whole"
+) -> DataFrame:
     """Full outer match of two result sets with one verdict per coordinate:
-    MATCH, DIFFERENT, ONLY_LEFT or ONLY_RIGHT."""
-    both = align(
-        left.select(*keys, F.col(value).cast("double").alias("left_value")),
-        right.select(*keys, F.col(value).cast("double").alias("right_value")),
-        keys,
-    )
+    MATCH, DIFFERENT, ONLY_LEFT or ONLY_RIGHT.
+
+    Integer columns compare exactly. Where both sides have a column ``whole``,
+    as long results do, it decides for the rows where either side fills it.
+    """
+    typed = whole in left.columns and whole in right.columns
+    sides = []
+    for side, frame in (("left", left), ("right", right)):
+        extra = [F.col(whole).alias(f"__{side}_whole")] if typed else []
+        sides.append(frame.select(*keys, F.col(value).alias(f"{side}_value"), *extra))
+    both = align(*sides, keys)
+    kinds = [frame.schema[value].dataType for frame in (left, right)]
+    matches = values_match(F.col("left_value"), F.col("right_value"), *kinds)
+    if typed:
+        ours, theirs = F.col("__left_whole"), F.col("__right_whole")
+        matches = F.when(ours.isNotNull() | theirs.isNotNull(), ours.eqNullSafe(theirs)).otherwise(matches)
     verdict = (
         F.when(~F.col("in_right"), "ONLY_LEFT")
         .when(~F.col("in_left"), "ONLY_RIGHT")
-        .when(numbers_match(F.col("left_value"), F.col("right_value")), "MATCH")
+        .when(matches, "MATCH")
         .otherwise("DIFFERENT")
     )
+    if not all(map(is_whole, kinds)):
+        both = both.withColumns({f"{s}_value": F.col(f"{s}_value").cast("double") for s in ("left", "right")})
     return both.select(*keys, "left_value", "right_value", verdict.alias("verdict"))
 
 
@@ -157,8 +183,9 @@ def roll_up_status(per_slice: DataFrame, group: Sequence[str] = ("metric",)) ->
 
 def fingerprint(results: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Row count and order-free sum of row hashes; equal results have equal
-    fingerprints, and duplicates count."""
-    row = F.xxhash64(*columns).cast("decimal(38,0)")
+    fingerprints, and duplicates count. The hash skips blanks, so which
+    columns are blank is hashed too."""
+    row = F.xxhash64(*columns, *(F.col(c).isNull() for c in columns)).cast("decimal(38,0)")
     return results.groupBy(*group).agg(
         F.count("*").alias("rows"), F.sum(row).cast("string").alias("hash_sum")
     )
@@ -177,17 +204,24 @@ def three_way(
 ) -> DataFrame:
     """Source against repository, and the third system where it has a value.
 
-    Missing source or repository values make a coordinate NOT_AVAILABLE.
+    Missing source or repository values make a coordinate NOT_AVAILABLE. Three
+    integer columns compare exactly.
     """
     sides = {"source": source, "repository": repository, "third": third}
+    exact = all(is_whole(f.schema[value].dataType) for f in sides.values())
     frames = [
-        f.select(*keys, F.col(value).cast("double").alias(n), F.lit(True).alias(f"has_{n}"))
+        f.select(
+            *keys,
+            (F.col(value) if exact else F.col(value).cast("double")).alias(n),
+            F.lit(True).alias(f"has_{n}"),
+        )
         for n, f in sides.items()
     ]
+    match = Column.eqNullSafe if exact else numbers_match
     both = align(align(frames[0], frames[1], keys).drop("in_left", "in_right"), frames[2], keys)
     available = F.coalesce(F.col("has_source") & F.col("has_repository"), F.lit(False))
-    agrees = numbers_match(F.col("source"), F.col("repository")) & (
-        F.col("has_third").isNull() | numbers_match(F.col("third"), F.col("repository"))
+    agrees = match(F.col("source"), F.col("repository")) & (
+        F.col("has_third").isNull() | match(F.col("third"), F.col("repository"))
     )
     status = F.when(~available, NOT_AVAILABLE).when(agrees, PASSED).otherwise(FAILED)
     return both.select(*keys, *sides, status.alias("status"))

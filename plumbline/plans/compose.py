@@ -13,10 +13,11 @@ from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from plumbline import metrics as m
 from plumbline.functions.blanks import distinct_with_blank
-from plumbline.model import Model, ModelError, internal, output, split_field
+from plumbline.model import Model, ModelError, internal, outputs, split_field
 from plumbline.operators import ordered
 from plumbline.operators.attach import attach, merge
 
@@ -39,17 +40,18 @@ class Context:
 
     def without(self, fields: Iterable[str], drop_filters: bool) -> "Context":
         fields = set(fields)
-        kept = tuple(p for p in self.filters if not (drop_filters and p.field in fields))
+        kept = tuple(p for p in self.filters if not (drop_filters and fields & {*p.fields}))
         return replace(self, by=tuple(b for b in self.by if b not in fields), filters=kept)
 
     def under(self, change: m.Calculate) -> "Context":
         ctx = self.without(change.lift, drop_filters=False)
         cleared = set(change.clear)
         if change.clear_except is not None:
-            fields = {*ctx.by, *(p.field for p in ctx.filters)}
+            fields = {*ctx.by, *(f for p in ctx.filters for f in p.fields)}
             cleared |= fields - set(change.clear_except)
         ctx = ctx.without(cleared, drop_filters=True)
-        replaced = {p.field for p in change.filters if not p.keep}
+        # A row expression always narrows what is there.
+        replaced = {f for p in change.filters if not getattr(p, "keep", True) for f in p.fields}
         ctx = ctx.without(replaced, drop_filters=True)
         treat = {change.treat_as} if change.treat_as else set()
         return replace(
@@ -105,6 +107,7 @@ class _Plan:
     model: Model
     leaves: dict[Leaf, str] = field(default_factory=dict)
     nested: dict[tuple, str] = field(default_factory=dict)
+    running: set[str] = field(default_factory=set)
 
     # -- from metric tree to leaf columns -----------------------------------
 
@@ -122,7 +125,10 @@ class _Plan:
         if isinstance(metric, m.Scoped):
             return self.column(metric.choose(ctx.scope()), ctx, names)
         if isinstance(metric, m.Running):
-            value = self.column(metric.inner, ctx, names)
+            # The year is summed from its first day; the date filter then picks rows.
+            self.running.add(metric.date)
+            whole_years = tuple(p for p in ctx.filters if p.fields != (metric.date,))
+            value = self.column(metric.inner, replace(ctx, filters=whole_years), names)
             others = [internal(b) for b in ctx.by if b != metric.date]
             if metric.date not in ctx.by:
                 raise ModelError("a running value needs its date in the grouping")
@@ -154,10 +160,13 @@ class _Plan:
         )
         filters, outer, back = set(), set(), {}
         for p in (*ctx.filters, *ctx.fixed):
-            table = split_field(p.field)[0]
-            if table in reach:
+            tables = _tables(p)
+            if tables <= set(reach):
                 (outer if p in ctx.outer or p in ctx.fixed else filters).add(p)
                 continue
+            if len(tables) > 1:  # an expression acts where all its tables are visible
+                continue
+            (table,) = tables
             path = self.model.reverse_path(agg.table, table, ctx.use)
             if path:
                 back.setdefault((table, path), set()).add(p)
@@ -169,7 +178,7 @@ class _Plan:
     def _visible(self, pair, ctx: Context) -> frozenset[m.Predicate]:
         reach = self.model.paths(split_field(pair[0])[0], ctx.use)
         return frozenset(
-            p for p in (*ctx.filters, *ctx.fixed) if split_field(p.field)[0] in reach
+            p for p in (*ctx.filters, *ctx.fixed) if _tables(p) <= set(reach)
         )
 
     # -- rows ---------------------------------------------------------------
@@ -495,7 +504,7 @@ class _Plan:
         for table in tables:
             reach = self.model.paths(table, ctx.use)
             if all(split_field(b)[0] in reach for b in ctx.by):
-                tests = [p for p in (*ctx.filters, *ctx.fixed) if split_field(p.field)[0] in reach]
+                tests = [p for p in (*ctx.filters, *ctx.fixed) if _tables(p) <= set(reach)]
                 return self.rows(table, ctx.by, tests, ctx.use).select(*map(internal, ctx.by)).distinct()
         raise ModelError("no table reaches all grouping columns")
 
@@ -549,7 +558,8 @@ def joined_rows(
 ) -> DataFrame:
     """Rows of a table with fields of the tables it points to."""
     rows = _Plan(model).rows(table, fields, filters)
-    return rows.select(*(F.col(internal(f)).alias(output(f)) for f in fields))
+    names = outputs(fields)
+    return rows.select(*(F.col(internal(f)).alias(names[f]) for f in fields))
 
 
 def query(
@@ -585,10 +595,15 @@ def query(
     if sets:
         frame = _grouping_sets(model, values, ctx, tuple(map(tuple, sets)), ranks)
     else:
-        frame = _ranked(model, _Plan(model).run(values, ctx), ctx, ranks)
+        plan = _Plan(model)
+        frame = plan.run(values, ctx)
+        for p in ctx.filters:
+            if len(p.fields) == 1 and p.fields[0] in plan.running:
+                frame = frame.where(p.column(model))
+        frame = _ranked(model, frame, ctx, ranks)
     counts = [n for n, v in named.items() if _is_count(model, v)]
     return frame.select(
-        *(F.col(internal(b)).alias(output(b)) for b in by),
+        *(F.col(internal(b)).alias(name) for b, name in outputs(by).items()),
         *(["grouping_id"] if sets else []),
         *(
             (F.nullif(F.col(n), F.lit(0)) if zero_as_blank and n in counts else F.col(n)).alias(n)
@@ -686,6 +701,17 @@ def _grouping_sets(model, values, ctx, sets: Sets, ranks) -> DataFrame:
     return frame
 
 
+def _long_value(frame: DataFrame, metric: str) -> Column:
+    kind = frame.schema[metric].dataType
+    exact = isinstance(kind, T.IntegralType) or (isinstance(kind, T.DecimalType) and kind.scale == 0)
+    whole = F.col(metric) if exact else F.lit(None)
+    return F.struct(
+        F.lit(metric).alias("metric"),
+        F.col(metric).cast("double").alias("value"),
+        whole.cast("decimal(38,0)").alias("whole"),
+    )
+
+
 def metric_slices(
     model: Model,
     metrics: Sequence[str],
@@ -697,7 +723,8 @@ def metric_slices(
     A slice is a list of groupings. ``coordinates`` is a JSON object with the
     fields of the grouping in name order; ``grouping`` is its position in the
     slice. All groupings are computed together as grouping sets, and
-    ``required`` narrows the slices kept per metric.
+    ``required`` narrows the slices kept per metric. ``whole`` repeats the value
+    exactly where the metric is an integer, and is blank elsewhere.
     """
     uses: dict[tuple[str, ...], list[tuple[str, int]]] = {}
     for name, groupings in slices.items():
@@ -711,7 +738,8 @@ def metric_slices(
     text, places = F, F
     for grouping, names in uses.items():
         here = F.col("grouping_id") == grouping_id(by, grouping)
-        pairs = [F.col(output(f)).alias(f) for f in grouping]
+        names_of = outputs(by)
+        pairs = [F.col(names_of[f]).alias(f) for f in grouping]
         json = F.to_json(F.struct(*pairs), {"ignoreNullFields": "false"}) if pairs else F.lit("{}")
         spots = F.array(
             *(F.struct(F.lit(n).alias("slice"), F.lit(p).alias("grouping")) for n, p in names)
@@ -720,9 +748,9 @@ def metric_slices(
     long = frame.select(
         text.alias("coordinates"),
         F.explode(places).alias("spot"),
-        *(F.col(n).cast("double").alias(n) for n in metrics),
-    ).select("spot.slice", "spot.grouping", "coordinates", *metrics)
-    long = long.unpivot(["slice", "grouping", "coordinates"], list(metrics), "metric", "value")
+        F.array(*(_long_value(frame, n) for n in metrics)).alias("cells"),
+    ).select("spot.slice", "spot.grouping", "coordinates", F.explode("cells").alias("cell"))
+    long = long.select("slice", "grouping", "coordinates", "cell.*")
     if required is not None:
         wanted = [
             (F.col("metric") == n) & F.col("slice").isin(*required.get(n, ())) for n in metrics

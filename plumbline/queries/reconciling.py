@@ -122,7 +122,8 @@ def slice_coverage(spark, path):
     long = metric_slices(star(spark, path), names, SLICES)
     asia = F.col("coordinates").contains("ASIA") & (F.col("metric") == "b_total")
     skipped = (F.col("metric") == "valid_rate") & (F.col("slice") == "STATUS")
-    other = long.withColumn("value", F.col("value") + asia.cast("int")).where(~skipped)
+    off = asia.cast("int")
+    other = long.withColumns({"value": F.col("value") + off, "whole": F.col("whole") + off}).where(~skipped)
     keys = ["metric", "slice", "grouping", "coordinates"]
     compared = reconcile.summarise_cells(
         reconcile.compare_cells(long.where(~skipped), other, keys), ["metric", "slice"]

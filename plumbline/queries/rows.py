@@ -215,9 +215,9 @@ def evidence_compare(spark, path):
       UNION ALL SELECT 'COUNTRY', 1, '{"region.r_name":"' || r_name || '"}', count(*),
         count(*) FILTER (WHERE is_valid), sum(part_b) FROM g GROUP BY r_name
       UNION ALL SELECT 'COUNTRY', 2, '{}', count(*), count(*) FILTER (WHERE is_valid), sum(part_b) FROM g)
-    SELECT slice, "grouping", coordinates, 'result_rows' AS metric, n::DOUBLE AS value FROM a
-    UNION ALL SELECT slice, "grouping", coordinates, 'valid_rate', round(v::DOUBLE / n, 6) FROM a
-    UNION ALL SELECT slice, "grouping", coordinates, 'b_total', b::DOUBLE FROM a WHERE slice <> 'STATUS'""",
+    SELECT slice, "grouping", coordinates, 'result_rows' AS metric, n::DOUBLE AS value, CAST(n AS DECIMAL(38,0)) AS whole FROM a
+    UNION ALL SELECT slice, "grouping", coordinates, 'valid_rate', round(v::DOUBLE / n, 6), NULL FROM a
+    UNION ALL SELECT slice, "grouping", coordinates, 'b_total', b::DOUBLE, CAST(b AS DECIMAL(38,0)) FROM a WHERE slice <> 'STATUS'""",
 )
 def metric_slices_long(spark, path):
     from plumbline import metric_slices
