@@ -6,6 +6,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -21,7 +22,7 @@ HEADLINE = [
     "within_group_percentile", "calc_item_ytd", "same_period_last_year", "metric_slices_long",
     "reconcile_full_outer", "slice_coverage", "keyed_diff", "snapshot_drift", "match_cascade",
     "relationship_profile", "identifier_profile", "edge_closure", "findings_summary", "evidence_explode",
-    "pack_distance", "pack_event", "pack_leg",
+    "pack_distance", "pack_event", "pack_leg", "pack_canonical", "evidence_compare", "risk_propagation", "rollup_median",
 ]
 
 
@@ -37,6 +38,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="plumbline-bench-"))
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

@@ -22,10 +22,15 @@ def _canonical(value: Column) -> Column:
     return F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)
 
 
-def stable_id(prefix: str, *parts: Column) -> Column:
-    """Prefix plus 16 hex digits of the SHA-256 of the parts as a JSON array."""
+def parts_hash(*parts: Column) -> Column:
+    """SHA-256 of the parts as a JSON array, in full: what tells things apart."""
     array = F.concat(F.lit("["), F.concat_ws(",", *(_canonical(p) for p in parts)), F.lit("]\n"))
-    return F.concat(F.lit(prefix), F.substring(F.sha2(array, 256), 1, 16))
+    return F.sha2(array, 256)
+
+
+def stable_id(prefix: str, *parts: Column) -> Column:
+    """Prefix plus 16 hex digits of the parts' hash, for display."""
+    return F.concat(F.lit(prefix), F.substring(parts_hash(*parts), 1, 16))
 
 
 def sorted_json(entries: dict[str, Column]) -> Column:

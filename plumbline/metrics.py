@@ -18,7 +18,8 @@ from plumbline.model import Model, ModelError, internal, split_field
 
 _OPS = {
     "eq": lambda c, v: c == v,
-    "ne": lambda c, v: c != v,
+    # Blank differs from every value; "eq" with 0, FALSE or "" does not take blank for it.
+    "ne": lambda c, v: ~c.eqNullSafe(v),
     "gt": lambda c, v: c > v,
     "ge": lambda c, v: c >= v,
     "lt": lambda c, v: c < v,
@@ -171,13 +172,13 @@ class Scope:
         return name in self.by
 
     def is_filtered(self, name: str) -> bool:
-        return name in self.by or any(p.field == name for p in self.filters)
+        return name in self.by or any(name in p.fields for p in self.filters)
 
     def is_cross_filtered(self, model: Model, name: str) -> bool:
         """Some grouping or filter can reach the table that holds the field."""
         table = split_field(name)[0]
         reach = model.paths(table)
-        sources = {split_field(f)[0] for f in (*self.by, *(p.field for p in self.filters))}
+        sources = {split_field(f)[0] for f in (*self.by, *(f for p in self.filters for f in p.fields))}
         return any(s in reach or model.reverse_path(table, s) for s in sources)
 
 
@@ -234,7 +235,8 @@ def add(*metrics):
 
 
 def subtract(left, right):
-    return Derived((left, right), lambda a, b: a - b)
+    """A blank side counts as zero, unless both are blank."""
+    return Derived((left, right), lambda a, b: blank_add(a, -b))
 
 
 def ratio(numerator, denominator):

@@ -30,9 +30,12 @@ def internal(name: str) -> str:
     return f"{table}__{column}"
 
 
-def output(name: str) -> str:
-    """Column name of a field in a query result."""
-    return split_field(name)[1]
+def outputs(names: Iterable[str]) -> dict[str, str]:
+    """Column names of fields in a query result: the column's own name, with the
+    table in front where two tables' columns share one."""
+    names = list(dict.fromkeys(names))
+    own = [split_field(n)[1] for n in names]
+    return {n: internal(n) if own.count(c) > 1 else c for n, c in zip(names, own, strict=True)}
 
 
 @dataclass(frozen=True)
@@ -85,11 +88,6 @@ class Model:
             raise ModelError(f"unknown metric {name}")
         return self.metrics[name]
 
-    def bind_views(self) -> None:
-        """Register every logical table as a temp view of the same name."""
-        for table in self.tables.values():
-            table.frame.createOrReplaceTempView(table.name)
-
     def links(self, use: frozenset[str] = frozenset()) -> tuple[Relationship, ...]:
         """Relationships in force when those named in ``use`` are switched on.
 

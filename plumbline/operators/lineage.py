@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,24 +18,24 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder)
     return frame.checkpoint()
 
 
-def closure(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Everything reachable from each start: ``(start, node, hops)``.
 
     ``starts`` has a column ``start``. Each round expands only the pairs found
-    in the round before and drops those already known, so cycles end; a start
-    that reaches itself is on a cycle.
+    in the round before and drops those already known, so cycles end, however
+    long the longest path is; a start that reaches itself is on a cycle. The
+    result has one row for each start and node it reaches: with every node as a
+    start it can grow with the square of the nodes.
     """
     edges = cut_lineage(edges.select("src", "dst").distinct())
     frontier = starts.select("start").distinct().select("start", F.col("start").alias("node"))
     rounds: list[DataFrame] = []
-    for hops in range(1, max_rounds + 1):
+    for hops in count(1):
         step = (
             frontier.join(edges, F.col("node") == F.col("src"))
             .select("start", F.col("dst").alias("node"))
@@ -49,25 +49,23 @@ def closure(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> Data
         rounds.append(frontier.withColumn("hops", F.lit(hops)))
         if len(rounds) == COMPACT_EVERY:
             rounds = [cut_lineage(_union(rounds))]
-    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+    raise AssertionError("unreachable: rounds end when nothing new is found")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def dependents(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def dependents(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """The closure against the direction of the edges."""
-    return closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts, max_rounds)
+    return closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts)
 
 
 def on_cycle(reached: DataFrame) -> DataFrame:
     return reached.where(F.col("start") == F.col("node")).select("start")
 
 
-def propagate_risk(
-    nodes: DataFrame, edges: DataFrame, sound: str, risky: str, max_rounds: int = 1000
-) -> DataFrame:
+def propagate_risk(nodes: DataFrame, edges: DataFrame, sound: str, risky: str) -> DataFrame:
     """Push risk up the edges: ``nodes(node, status)`` whose status is ``sound``
     become ``risky`` when something they depend on, directly or not, is not
     sound or does not exist. Returns node, status and reason."""
@@ -81,7 +79,7 @@ def propagate_risk(
     )
     frontier = cut_lineage(bad.union(unresolved).distinct())
     tainted = [frontier]
-    for _ in range(max_rounds):
+    while True:
         step = (
             edges.join(frontier.withColumnRenamed("node", "dst"), "dst")
             .select(F.col("src").alias("node"))
@@ -94,8 +92,6 @@ def propagate_risk(
         tainted.append(frontier)
         if len(tainted) == COMPACT_EVERY:
             tainted = [cut_lineage(_union(tainted))]
-    else:
-        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
     marked = nodes.join(_union(tainted).withColumn("__hit", F.lit(True)), "node", "left")
     pushed = (F.col("status") == sound) & F.col("__hit").isNotNull()
     return marked.select(

@@ -9,8 +9,9 @@ from plumbline.operators.attach import attach
 
 
 def _hits(targets: DataFrame, key) -> DataFrame:
-    """Targets per key, with the only id where there is just one."""
-    return targets.groupBy(key.alias("__key")).agg(
+    """Targets per key, with the only id where there is just one. A target
+    without a key is no target: blank names match nothing."""
+    return targets.where(key.isNotNull()).groupBy(key.alias("__key")).agg(
         F.count("*").alias("__hits"), F.min("target_id").alias("__target")
     )
 
@@ -23,7 +24,7 @@ def match_cascade(sources: DataFrame, targets: DataFrame) -> DataFrame:
     form shared by several sources is ambiguous too. Nothing is matched fuzzily.
     """
     lowered = F.lower("name")
-    form = identifier_form(F.col("name"))
+    form = F.nullif(identifier_form(F.col("name")), F.lit(""))
     steps = (
         ("explicit", lowered, targets.where("declared is not null"), F.lower("declared")),
         ("exact", lowered, targets, lowered),
@@ -41,7 +42,7 @@ def match_cascade(sources: DataFrame, targets: DataFrame) -> DataFrame:
     frame = attach(frame, clashes, ["__form"])
 
     hits = {s: F.coalesce(f"{s}_hits", F.lit(0)) for s in ("explicit", "exact", "form")}
-    unique_form = F.col("form_sources") == 1
+    unique_form = (F.col("form_sources") == 1) | F.col("__form").isNull()
     ambiguous = F.lit("AMBIGUOUS")
     method = (
         F.when(hits["explicit"] == 1, "EXPLICIT_MAPPING")
@@ -76,19 +77,32 @@ def match_cascade(sources: DataFrame, targets: DataFrame) -> DataFrame:
 
 def signature_lookup(items: DataFrame, rules: DataFrame) -> DataFrame:
     """Find the one rule with exactly the item's ``signature``; none or several
-    send the item to manual review."""
-    known = rules.groupBy("signature").agg(
+    send the item to manual review.
+
+    Only rules count whose ``status`` is ACCEPTED and ``supersession_status``
+    CURRENT, where rules have these columns. An item whose ``supplied``
+    signature, where items have it, is not its own is not looked up at all.
+    """
+    eligible = F.col("signature").isNotNull()
+    for column, needed in (("status", "ACCEPTED"), ("supersession_status", "CURRENT")):
+        if column in rules.columns:
+            eligible = eligible & (F.col(column) == needed)
+    known = rules.where(eligible).groupBy("signature").agg(
         F.count("*").alias("__hits"), F.min("rule_id").alias("__rule")
     )
+    exact = F.lit(True)
+    if "supplied" in items.columns:
+        exact = F.col("supplied").eqNullSafe(F.col("signature"))
     hits = F.coalesce("__hits", F.lit(0))
     return (
         attach(items, known, ["signature"])
         .withColumn(
             "outcome",
-            F.when(hits == 0, "NO_EXACT_REVIEW_RULE")
+            F.when(~exact, "REVIEW_SIGNATURE_NOT_EXACT")
+            .when(hits == 0, "NO_EXACT_REVIEW_RULE")
             .when(hits > 1, "AMBIGUOUS_REVIEW_RULE")
             .otherwise("REVIEW_RULE_SUGGESTED"),
         )
-        .withColumn("rule_id", F.when(hits == 1, F.col("__rule")))
+        .withColumn("rule_id", F.when(exact & (hits == 1), F.col("__rule")))
         .drop("__hits", "__rule")
     )

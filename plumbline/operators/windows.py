@@ -76,17 +76,6 @@ def same_period_last_year(
     return attach(shifted, earlier, ["__then", *keys]).drop("__then")
 
 
-def year_to_date(frame: DataFrame, date: str, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Running sum from the first day of the year; ``frame`` is at day grain,
-    so a window holds at most one year of days."""
-    frame_ = (
-        Window.partitionBy(*keys, F.year(date))
-        .orderBy(date)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return frame.withColumn(name, F.sum(value).over(frame_))
-
-
 def fill_days(frame: DataFrame, days: DataFrame, date: str, values: Sequence[str]) -> DataFrame:
     """One row per day of the spine, zero where nothing happened."""
     return attach(days, frame, [date]).fillna(0, subset=list(values))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from plumbline import metrics as m
@@ -165,6 +167,20 @@ def calc_item_ytd(spark, path):
     return rounded(query(model, wanted, by=[PRIORITY, "orders.day"]))
 
 
+@case(
+    "calc_item_ytd_filtered",
+    """WITH $RESULTS, d AS (SELECT o_orderpriority, day, count(*) AS n FROM o GROUP BY 1, 2),
+    y AS (SELECT *, CAST(sum(n) OVER (PARTITION BY o_orderpriority, year(day) ORDER BY day) AS BIGINT) AS rows_ytd FROM d)
+    SELECT o_orderpriority, day, n AS result_rows, rows_ytd FROM y WHERE day >= DATE '1996-06-01'""",
+)
+def calc_item_ytd_filtered(spark, path):
+    """A filter on the day picks rows; the year is still summed from its first day."""
+    model = star(spark, path)
+    wanted = {"result_rows": "result_rows", "rows_ytd": m.year_to_date("result_rows", "orders.day", model)}
+    since = Predicate("orders.day", datetime.date(1996, 6, 1), op="ge")
+    return query(model, wanted, by=[PRIORITY, "orders.day"], filters=[since])
+
+
 @case(
     "time_spine_fill",
     """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders

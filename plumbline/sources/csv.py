@@ -26,5 +26,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def _cell(cell: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.BooleanType):
-        return F.lower(F.btrim(cell)).cast(kind)
+        word = F.lower(F.btrim(cell))
+        # Other words that a cast would take for a boolean fail like any misfit.
+        return F.when(word.isin("true", "false"), word == "true").when(
+            word.isNotNull(), F.raise_error(F.concat(F.lit("not a boolean: "), cell)).cast(kind)
+        )
     return cell.cast(kind)
