@@ -156,9 +156,13 @@ def relative_positions(
     value columns to result columns."""
     keyed, key = _keyed(rows, keys)
     out = keyed
+    # A blank value has no position: such rows are spread, not sent to one task.
+    spread = F.pmod(F.xxhash64(*keyed.columns), F.lit(1024))
     for value, name in names.items():
         counts = _ordered(keyed.select(*key, value), key, value, split_above)
         larger = F.col("total") - F.col("before") - F.col("n")
         share = F.when(F.col("total") > 1, larger / (F.col("total") - 1)).otherwise(0.0)
-        out = _join(out, counts.select(*key, value, share.alias(name)), [*key, value])
+        placed = counts.select(*key, value, share.alias(name), F.lit(0).cast("bigint").alias("__spread"))
+        out = out.withColumn("__spread", F.when(F.col(value).isNull(), spread).otherwise(0))
+        out = _join(out, placed, [*key, value, "__spread"]).drop("__spread")
     return _opened(out, keys).select(*rows.columns, *names.values())
