@@ -124,28 +124,83 @@ def signatures(shingles: np.ndarray, cuts: np.ndarray, percent: int) -> tuple[np
     return found[order], np.searchsorted(owner[order], np.arange(len(sizes) + 1))
 
 
-def _described(docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
-    """id, n, d1, d2 and signatures of each row; of equal sets in a batch only the first has signatures."""
+def _described(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
+    """id, n, d1 and d2 of each row."""
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[tuple[int, int]] = set()
             for low, high, data, offsets in text_chunks(batch.column(1)):
                 shingles, cuts = shingle_sets(data, offsets, size)
                 d1, d2 = digests(shingles, cuts)
-                first = np.zeros(high - low, bool)
-                for k, key in enumerate(zip(d1.tolist(), d2.tolist(), strict=True)):
-                    if key not in seen:
-                        seen.add(key)
-                        first[k] = True
-                sizes = np.diff(cuts)
-                kept = np.repeat(first, sizes)
-                found, at = signatures(shingles[kept], np.concatenate([[0], np.cumsum(np.where(first, sizes, 0))]), percent)
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(sizes), pa.array(d1), pa.array(d2), lists], names=["id", "n", "d1", "d2", "signatures"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(np.diff(cuts)), pa.array(d1), pa.array(d2)], names=["id", "n", "d1", "d2"])
 
-    return docs.select(id, text).mapInArrow(run, f"id {kind}, n long, d1 long, d2 long, signatures array<long>")
+    return docs.select(id, text).mapInArrow(run, f"id {kind}, n long, d1 long, d2 long")
+
+
+def stars(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of equal sorted keys: key and first value; and distinct pairs (first value, other value)."""
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    heads = values[first]
+    u = heads[np.cumsum(first) - 1]
+    pairs = np.flatnonzero(u != values)
+    u, v = u[pairs], values[pairs]
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    new = np.ones(len(u), bool)
+    new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    return keys[first], heads, u[new], v[new]
+
+
+def _candidates(docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
+    """(u, v): d1 of sets with a signature in common, a star for each signature.
+
+    Each task first makes stars of its own rows, half a million signatures at a time, and sends one row for each signature,
+    so a signature that a third of all sets share is a few rows a task. Signatures are dealt out and sorted once;
+    runs of equal ones are read as a stream, whatever their length.
+    """
+
+    def combine(sent: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, values = (np.concatenate(x) for x in zip(*sent, strict=True))
+        order = np.lexsort((values, keys))  # the least set leads: sets with many common signatures make the same pair
+        keys, heads, u, v = stars(keys[order], values[order])
+        edge = np.concatenate([np.zeros(len(keys), bool), np.ones(len(u), bool)])
+        return pa.RecordBatch.from_arrays([pa.array(edge), pa.array(np.concatenate([keys, u])), pa.array(np.concatenate([heads, v]))], names=["edge", "key", "value"])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent, total = [], 0
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                shingles, cuts = shingle_sets(data, offsets, size)
+                d1, _ = digests(shingles, cuts)
+                found, at = signatures(shingles, cuts, percent)
+                sent.append((found.view(np.int64), np.repeat(d1, np.diff(at))))
+                total += len(found)
+                if total > 1 << 19:
+                    yield combine(sent)
+                    sent, total = [], 0
+        if sent:
+            yield combine(sent)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int] | None = None  # key and first value of the run that may go on
+        for batch in batches:
+            edge, keys, values = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            made = [(keys[edge], values[edge])]
+            keys, values = keys[~edge], values[~edge]
+            if len(keys):
+                if last is not None and last[0] == keys[0]:
+                    keys, values = np.append(last[0], keys), np.append(last[1], values)
+                own, heads, u, v = stars(keys, values)
+                made.append((u, v))
+                last = int(own[-1]), int(heads[-1])
+            u, v = (np.concatenate(x) for x in zip(*made, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    rows = docs.where(F.col(id).isNotNull()).select(text).mapInArrow(sign, "edge boolean, key long, value long")
+    dealt = rows.repartition("edge", "key").sortWithinPartitions("edge", "key", "value")
+    return dealt.mapInArrow(link, "u long, v long").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, size: int) -> DataFrame:
@@ -190,15 +245,11 @@ def jaccard_components(docs: DataFrame, folder: str, id: str = "doc_id", text: s
     an empty table gives an empty result. Intermediate tables go to `folder`, which all executors share.
     """
     kind = docs.schema[id].dataType.simpleString()
-    described = saved(_described(docs, id, text, size, percent), folder, "described")
+    described = saved(_described(docs, id, text, size), folder, "described")
     base = described.where("id is not null and n > 0")
     classes = base.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
 
-    # Candidate clusters: of each signature the least set is linked with the others.
-    entries = base.select(F.explode("signatures").alias("signature"), "d1")
-    shared = entries.groupBy("signature").agg(F.min("d1").alias("u"), F.max("d1").alias("most")).where("u <> most").select("signature", "u")
-    candidates = entries.join(shared, "signature").where("d1 <> u").select("u", F.col("d1").alias("v")).distinct()
-    clusters = components(candidates, folder, "clusters")
+    clusters = components(_candidates(docs, id, text, size, percent), folder, "clusters")
 
     # Blocks: the sets of a cluster dealt by hash, as many blocks as its shingles need.
     members = classes.join(clusters, F.col("d1") == F.col("node")).select(F.col("rep").alias("id"), "d1", "d2", "n", F.col("root").alias("cluster"))
