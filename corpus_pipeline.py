@@ -17,7 +17,7 @@ from plumbline.llm.neighbour_quality import score_quality
 from plumbline.llm.queries import PIECE_BPE, QUALITY_CUT, held_out, piece_digests
 from plumbline.llm.secret_scan import find_secrets, mask
 from plumbline.llm.sentencepieces import encode_pieces
-from plumbline.llm.shared import documents, saved, shared_folder
+from plumbline.llm.shared import documents, saved, shared_folder, small_batches
 
 #: Near duplicates share four fifths of their five-word shingles.
 SHINGLE_WORDS = 5
@@ -26,6 +26,7 @@ SIMILARITY_PERCENT = 80
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out("doc_id"))
     others = tuple(c for c in docs.columns if c != "doc_id")
     scored = score_quality(docs, labels, keep=others, score="classifier_score")
@@ -34,15 +35,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id; documents without an id all stay."""
+    small_batches(spark)
     folder = shared_folder(spark)
     found = jaccard_components(docs, folder, size=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
     found = saved(found, folder, "found")
     firsts = without(docs, found.where("component_id <> doc_id").select("doc_id"))
-    return one_of_each(firsts, found.groupBy("doc_id").count().where("count > 1").select("doc_id")).select(docs.columns)
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    return (firsts if repeated.isEmpty() else one_of_each(firsts, repeated)).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     found = contaminations(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return without(docs, saved(found.select("doc_id").distinct(), shared_folder(spark), "contaminated")).select(docs.columns)
 
@@ -58,6 +62,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of ids, decoded text and piece spans."""
+    small_batches(spark)
     out = encode_pieces(docs, public_tokenizers.path(PIECE_BPE), keep=("lang", "source"))
     return out.select("doc_id", "lang", "source", *piece_digests(), "ids")
 

@@ -16,7 +16,7 @@ import numpy as np
 from plumbline.llm.hashtable import HashTable
 from plumbline.llm.textscan import SPACE, Hasher, owners, runs
 
-CAPACITY = 1 << 20
+CAPACITY = 1 << 18
 
 
 class PieceTable:

@@ -24,5 +24,10 @@ def saved(frame: DataFrame, folder: str, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{name}")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sends at most so many rows at once to a Python worker, so that long texts fit beside everything else."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
