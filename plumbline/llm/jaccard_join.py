@@ -3,7 +3,8 @@
 Sets whose similarity reaches the threshold differ in at most d elements, so of d + 1 parts of the hash space they
 agree on one. Every set gives the hash of each of its parts, for its own size class and the next one; equal hashes
 make candidate clusters, and no similar pair is missed. A cluster is cut into blocks of bounded size. Each block is
-joined by a signature tree, then, in clusters of several blocks, pairs of blocks whose sets are not yet connected.
+joined by a signature tree. In clusters of several blocks that stay apart, sets of different components that share a
+signature are then joined around the largest of these components.
 Links are a spanning forest: within a group of copies no more links are made than connect it.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -43,7 +45,10 @@ def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for c, top in enumerate(tops):
         differ = 2 * top * (100 - percent) // (100 + percent)
         least = 1 if c < 2 else tops[c - 2] + 1
-        spare = next((s for s in range(min(differ, 1 << 10) + 1) if _likely_empty(differ + 1 + s, least) <= s), 0)
+        spare = 0  # the least that is enough: what is needed grows with the number of parts
+        while spare <= differ and (need := ceil(_likely_empty(differ + 1 + spare, least))) > spare:
+            spare = need
+        spare = spare if spare <= differ else 0
         parts.append(differ + 1 + spare)
         empty.append(spare)
     return np.array(tops), np.array(parts), np.array(empty)
@@ -221,6 +226,72 @@ def _sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, size: int) ->
     return rows.mapInArrow(run, f"id {kind}, d1 long, d2 long, set binary")
 
 
+def _signed(docs: DataFrame, wanted: DataFrame, id: str, text: str, size: int, percent: int, among: DataFrame | None = None) -> DataFrame:
+    """id, d1, d2 and each signature of the rows whose id may be wanted; only signatures that may be `among` those."""
+    kind = docs.schema[id].dataType.simpleString()
+    context = docs.sparkSession.sparkContext
+    bloom = context.broadcast(build_bloom(wanted.select(F.xxhash64("id"))))
+    some = context.broadcast(build_bloom(among) if among is not None else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(bloom.value.might_hold(batch.column(2).to_numpy())))
+            for low, high, data, offsets in text_chunks(batch.column(1)):
+                shingles, cuts = shingle_sets(data, offsets, size)
+                d1, d2 = digests(shingles, cuts)
+                found, at = signatures(shingles, cuts, percent)
+                if some.value is not None and len(found):
+                    use = some.value.might_hold(found.view(np.int64))
+                    found, at = found[use], np.concatenate([[0], np.cumsum(use)])[at]
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found.view(np.int64)))
+                out = [batch.column(0)[low:high], pa.array(d1), pa.array(d2), lists]
+                yield pa.RecordBatch.from_arrays(out, names=["id", "d1", "d2", "signatures"])
+
+    rows = docs.where(F.col(id).isNotNull()).select(id, text, F.xxhash64(id))
+    return rows.mapInArrow(run, f"id {kind}, d1 long, d2 long, signatures array<long>").where(F.size("signatures") > 0)
+
+
+def _met(docs: DataFrame, open_: DataFrame, folder: str, id: str, text: str, size: int, percent: int) -> DataFrame:
+    """id, d1, d2, n, rank and group of the sets to compare: all pairs of different components with a common signature.
+
+    open_: id, d1, d2, n and root of sets that are not all connected. Components are ranked by size. A signature's
+    sets go to the greatest of its components, so a large family and a few strangers are one star, in which each set
+    of the family stands once for each block of strangers. Both sides are cut into blocks of bounded size.
+    """
+    roots = open_.groupBy("root").agg(F.sum("n").alias("weight")).orderBy("weight", "root")
+    ranks = saved(roots.select("root", F.monotonically_increasing_id().alias("rank")), folder, "ranks")
+    ranked = saved(open_.join(ranks, "root").select("id", "d1", "d2", "n", "rank"), folder, "ranked")
+    key = ["id", "d1", "d2"]
+    every = _signed(docs, ranked, id, text, size, percent).join(ranked, key).select("rank", F.explode("signatures").alias("signature"))
+    heads = every.groupBy("signature").agg(F.min("rank").alias("least"), F.max("rank").alias("head")).where("least <> head")
+    heads = saved(heads.select("signature", "head"), folder, "heads")
+    again = _signed(docs, ranked, id, text, size, percent, heads.select("signature")).join(ranked, key)
+    again = again.select(*key, "n", "rank", F.explode("signatures").alias("signature")).join(heads, "signature")
+    others = saved(again.where("rank <> head").select("head", *key, "n", "rank").distinct(), folder, "others")
+    own = ranked.join(others.select(F.col("head").alias("rank")).distinct(), "rank").select(F.col("rank").alias("head"), *key, "n", "rank")
+    count = lambda n: F.ceil(F.sum(n) / BLOCK_SHINGLES).cast("int")
+    cuts = own.groupBy("head").agg(count("n").alias("mine")).join(others.groupBy("head").agg(count("n").alias("theirs")), "head")
+    deal = lambda blocks: F.pmod(F.xxhash64("d1", "d2"), F.col(blocks)).cast("int")
+    upto = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
+    name = lambda a, b: F.concat_ws(":", "head", a, b)
+    own = own.join(cuts, "head").withColumn("block", deal("mine")).withColumn("other", F.explode(upto("theirs")))
+    own = own.select(*key, "n", "rank", name("block", "other").alias("group"))
+    others = others.join(cuts, "head").withColumn("block", deal("theirs"))
+    across = F.transform(upto("mine"), lambda k: name(k, F.col("block")))
+    beside = F.transform(
+        F.filter(upto("theirs"), lambda k: k != F.col("block")),
+        lambda k: F.concat_ws(":", "head", F.lit("other"), F.least("block", k), F.greatest("block", k)),
+    )
+    others = others.select(*key, "n", "rank", F.explode(F.concat(across, beside)).alias("group"))
+    return saved(own.unionByName(others), folder, "met")
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Parts into which rows, one for each copy of a set of n shingles, are dealt."""
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    return max(1, 2 * total // BLOCK_SHINGLES, rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _tree_join(rows: DataFrame, blocks: int, percent: int, kind: str) -> DataFrame:
     """Links (u, v) within each group of (id, label, set, group); many groups share a task's memory in turn."""
 
@@ -259,8 +330,6 @@ def jaccard_components(docs: DataFrame, folder: str, id: str = "doc_id", text: s
     size_of = totals.agg(F.sum("blocks"), F.max("blocks"), F.count(F.lit(1))).first()
     if not size_of[2]:
         return _labelled(described, classes, None, id)
-    total = members.agg(F.sum("n")).first()[0]
-    tasks = max(1, 2 * total // BLOCK_SHINGLES, docs.sparkSession.sparkContext.defaultParallelism)
     placed = members.join(totals, "cluster").withColumn("block", F.pmod(F.xxhash64("d1"), F.col("blocks")).cast("int"))
     placed = saved(placed, folder, "placed")
     sets = _sets(docs, placed, id, text, size)
@@ -270,18 +339,17 @@ def jaccard_components(docs: DataFrame, folder: str, id: str = "doc_id", text: s
     inside = placed.withColumn("block", F.explode(F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
     inside = inside.withColumn("group", F.concat_ws(":", "cluster", "block"))
     rows = inside.join(sets, ["id", "d1", "d2"]).select("id", F.xxhash64("id", "d1", "d2").alias("label"), "set", "group")
-    links = saved(_tree_join(rows, tasks, percent, kind), folder, "links")
+    links = saved(_tree_join(rows, _tasks(inside), percent, kind), folder, "links")
 
-    if size_of[1] > 1:  # pairs of blocks, where a cluster is not yet one component
+    if size_of[1] > 1:  # sets with a common signature, where a cluster is not yet one component
         found = components(links, folder, "inside")
         open_ = placed.where("blocks > 1").join(found, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
         split = open_.groupBy("cluster").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("cluster")
-        open_ = open_.join(split, "cluster")
-        other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")))
-        pairs = open_.withColumn("other", other).withColumn("group", F.concat_ws(":", "cluster", F.least("block", "other"), F.greatest("block", "other")))
-        pairs = pairs.join(sets, ["id", "d1", "d2"]).select("id", F.xxhash64("root").alias("label"), "set", "group")
-        more = saved(_tree_join(pairs, tasks, percent, kind), folder, "cross-links")
-        links = links.unionByName(more)
+        open_ = saved(open_.join(split, "cluster").select("id", "d1", "d2", "n", "root"), folder, "open")
+        if not open_.isEmpty():
+            met = _met(docs, open_, folder, id, text, size, percent)
+            pairs = met.join(sets, ["id", "d1", "d2"]).select("id", F.col("rank").alias("label"), "set", "group")
+            links = links.unionByName(saved(_tree_join(pairs, _tasks(met), percent, kind), folder, "cross-links"))
     return _labelled(described, classes, components(links, folder, "components"), id)
 
 

@@ -122,6 +122,33 @@ def test_join_matches_brute_force(spark, monkeypatch, size, percent, block):
     assert got == brute_components(rows, size, percent)
 
 
+def test_family_of_many_blocks_with_a_stranger_is_not_paired_block_by_block(spark, monkeypatch):
+    """All but one set are connected, so each is compared with the stranger only, and the parts follow what is sent."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 1000)
+    sent, join = [], jaccard_join._tree_join
+    monkeypatch.setattr(jaccard_join, "_tree_join", lambda rows, tasks, *rest: (sent.append((rows.count(), tasks)), join(rows, tasks, *rest))[1])
+    rnd = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(120):
+        x = list(base)
+        x[rnd.randrange(150)] = f"own{i}"
+        rows.append((i, " ".join(x)))
+    rows.append((500, " ".join(base[:60] + [f"far{k}" for k in range(12)] + base[72:])))  # shares parts, not 90 %
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(frame, shared_folder(spark)).collect()}
+    assert got == brute_components(rows, 3, 90) and got[500][1] == 500
+    (_, first), (again, second) = sent
+    assert first >= 2 * 120 * 140 // 1000 and second >= 2 * 120 * 140 // 1000
+    assert 120 <= again <= 121 + first // 2  # the family once, the stranger once for each block
+
+
+def test_spare_parts_follow_the_size():
+    tops, parts, empty = size_classes(80)
+    large = (tops > 1 << 18) & (tops < 1 << 30)
+    assert large.any() and (empty[large] > 1 << 10).all() and (parts > empty).all()
+
+
 def test_join_on_nulls_repeats_and_nothing(spark):
     frame = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "x y z"), (None, None)], "doc_id long, text string")
     got = jaccard_components(frame, shared_folder(spark))
