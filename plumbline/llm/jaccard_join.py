@@ -293,12 +293,12 @@ def _tasks(rows: DataFrame) -> int:
 
 
 def _tree_join(rows: DataFrame, blocks: int, percent: int, kind: str) -> DataFrame:
-    """Links (u, v) within each group of (id, label, set, group); many groups share a task's memory in turn."""
+    """Links (u, v) within each group of (id, d1, d2, label, set, group); many groups share a task's memory in turn."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, g in pdf.groupby("group", sort=False):
-            g = g.drop_duplicates("id")
+            g = g.drop_duplicates(["id", "d1", "d2"])
             ids = g["id"].to_numpy()
             links = spanning_links([np.frombuffer(s, np.uint64) for s in g["set"]], g["label"].to_numpy(), percent)
             out += [(ids[i], ids[j]) for i, j in links]
@@ -320,6 +320,8 @@ def jaccard_components(docs: DataFrame, folder: str, id: str = "doc_id", text: s
     base = described.where("id is not null and n > 0")
     classes = base.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
 
+    same = _same_id(base, classes, folder)
+
     clusters = components(_candidates(docs, id, text, size, percent), folder, "clusters")
 
     # Blocks: the sets of a cluster dealt by hash, as many blocks as its shingles need.
@@ -329,7 +331,7 @@ def jaccard_components(docs: DataFrame, folder: str, id: str = "doc_id", text: s
     totals = totals.select("cluster", "first", "last", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     size_of = totals.agg(F.sum("blocks"), F.max("blocks"), F.count(F.lit(1))).first()
     if not size_of[2]:
-        return _labelled(described, classes, None, id)
+        return _labelled(described, classes, components(same, folder, "components") if same is not None else None, id)
     placed = members.join(totals, "cluster").withColumn("block", F.pmod(F.xxhash64("d1"), F.col("blocks")).cast("int"))
     placed = saved(placed, folder, "placed")
     sets = _sets(docs, placed, id, text, size)
@@ -338,8 +340,9 @@ def jaccard_components(docs: DataFrame, folder: str, id: str = "doc_id", text: s
     hub = F.col("d1").isin(F.col("first"), F.col("last")) & (F.col("blocks") > 1)
     inside = placed.withColumn("block", F.explode(F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
     inside = inside.withColumn("group", F.concat_ws(":", "cluster", "block"))
-    rows = inside.join(sets, ["id", "d1", "d2"]).select("id", F.xxhash64("id", "d1", "d2").alias("label"), "set", "group")
+    rows = inside.join(sets, ["id", "d1", "d2"]).select("id", "d1", "d2", F.xxhash64("id", "d1", "d2").alias("label"), "set", "group")
     links = saved(_tree_join(rows, _tasks(inside), percent, kind), folder, "links")
+    links = links.unionByName(same) if same is not None else links
 
     if size_of[1] > 1:  # sets with a common signature, where a cluster is not yet one component
         found = components(links, folder, "inside")
@@ -348,11 +351,23 @@ def jaccard_components(docs: DataFrame, folder: str, id: str = "doc_id", text: s
         open_ = saved(open_.join(split, "cluster").select("id", "d1", "d2", "n", "root"), folder, "open")
         if not open_.isEmpty():
             met = _met(docs, open_, folder, id, text, size, percent)
-            pairs = met.join(sets, ["id", "d1", "d2"]).select("id", F.col("rank").alias("label"), "set", "group")
+            pairs = met.join(sets, ["id", "d1", "d2"]).select("id", "d1", "d2", F.col("rank").alias("label"), "set", "group")
             links = links.unionByName(saved(_tree_join(pairs, _tasks(met), percent, kind), folder, "cross-links"))
     return _labelled(described, classes, components(links, folder, "components"), id)
 
 
+def _same_id(base: DataFrame, classes: DataFrame, folder: str) -> DataFrame | None:
+    """Links between the classes of each id that has several texts; None if no id has."""
+    text = F.struct("d1", "d2", "n")
+    several = base.groupBy("id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("id")
+    several = saved(several, folder, "several")
+    if several.isEmpty():
+        return None
+    held = base.join(several, "id").distinct().join(classes, ["d1", "d2", "n"]).select("id", "rep")
+    first = held.groupBy("id").agg(F.min("rep").alias("u"))
+    return saved(held.join(first, "id").select("u", F.col("rep").alias("v")).where("u <> v").distinct(), folder, "same")
+
+
 def _labelled(described: DataFrame, classes: DataFrame, found: DataFrame | None, id: str) -> DataFrame:
     if found is not None:
         classes = classes.join(found, F.col("rep") == F.col("node"), "left").withColumn("rep", F.coalesce("root", "rep"))

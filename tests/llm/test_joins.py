@@ -157,6 +157,16 @@ def test_join_on_nulls_repeats_and_nothing(spark):
     assert jaccard_components(frame.limit(0), shared_folder(spark)).count() == 0
 
 
+def test_join_of_an_id_with_two_texts(spark):
+    """Rows of one id belong together, and so does all that one of its texts is linked with."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (7, a), (7, b), (9, b), (9, c + " end"), (12, c), (20, "alone here now")]
+    for some, want in ((rows, {1: 1, 7: 1, 9: 1, 12: 1, 20: 20}), ([(3, a), (3, b), (4, "alone here now")], {3: 3, 4: 4})):
+        frame = spark.createDataFrame(some, "doc_id long, text string")
+        got = jaccard_components(frame, shared_folder(spark)).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, want[i]) for i, _ in some)
+
+
 def test_join_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op9_jaccard_join"](spark, sf).collect()}
