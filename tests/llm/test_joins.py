@@ -236,6 +236,19 @@ def test_templates_and_slots(spark):
     assert decontaminate(docs, items.limit(0)).where("contaminated").count() == 0 and decontaminate(docs.limit(0), items).count() == 0
 
 
+def test_items_of_numbers_names_or_few_words(spark):
+    """Exact copies are found even where hardly a word is literal or no blank parts the words."""
+    items = ["3 5 8 13 21 34 55 89 144", "Then Anna, Bob, Carl, Dora, Emil and Fritz", "日本の首都はどこですか。その人口は何人ですか？", "光合成とは", "Mitochondria?", "12 + 7", "...", "กรุงเทพ"]
+    texts = [
+        "next: 3 5 8 13 21 34 55 89 144 ok", "so 4 6 9 14 22 35 56 90 145 ok", "we met. Then Anna, Bob, Carl, Dora, Emil and Fritz left", "問題：日本の首都はどこですか。その人口は何人ですか？答え",
+        "では光合成とは何か", "the mitochondria, of course", "so 12 + 7 is", "... 7 12", "日本の人口は多い", "about 12 apples", "ไปกรุงเทพวันนี้",
+    ]
+    items = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    got = {r.doc_id: r for r in decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items).collect()}
+    assert [got[k]["items"] for k in range(11)] == [[0], [], [1], [2], [3], [4], [5], [], [], [], [7]]
+    assert got[0].share == got[3].share == 1 and not any(r.reparameterised for r in got.values())
+
+
 def brute_items(rows, items, size=6, share=0.3):
     """Literal windows only: the supplied benchmark has no numbers, names or units."""
     norm = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
