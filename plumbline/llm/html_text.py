@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. First pass: a block is decided by where it stands (navigation,
 adverts, forms, comments and so on are boilerplate; so is all that lies outside the page's article, if it has one),
-by its link density, its length, and its density of function words. Second pass: short blocks that stay open take
+by its link density, its length, and its density of function words, which is left out where the function words known
+here are not those of the text. Second pass: short blocks that stay open take
 the label of the nearest decided block of their region, an article's edge counting as text.
 """
 
@@ -23,7 +24,16 @@ LONG_WORDS = 30
 LINK_DENSITY = 0.5
 STOP_DENSITY = 0.12
 HIGH_STOP_DENSITY = 0.25
+#: A page with a smaller part of function words is in a language whose function words are not known here.
+PAGE_STOP_DENSITY = 0.06
 STOP_WORDS = frozenset(COMMON_WORDS)
+#: Letters of scripts without spaces (two count as a word), and of scripts in which no function words are known.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_OTHER_SCRIPT = re.compile("[\u0370-\u1dff\u1f00-\u1fff\u2c00-\u2dff\u3005-\u3007\u3040-\ud7ff\uf900-\ufaff\ufb1d-\ufdff\ufe70-\ufefc\U00010000-\U0003ffff]")
+#: Latin letters that English, German, French and Spanish do not use; a text has them in so many words in a hundred.
+_OTHER_LATIN = re.compile("[\u00c3\u00c5\u00cc\u00d0\u00d2\u00d5\u00d8\u00dd\u00de\u00e3\u00e5\u00ec\u00f0\u00f2\u00f5\u00f8\u00fd\u00fe\u0100-\u0151\u0154-\u024f\u1e00-\u1eff]")
+OTHER_LATIN_PERCENT = 5
+_SENTENCE_END = re.compile("[.!?:;\u2026\u3002\uff01\uff1f\u061f\u06d4\u0964\u0589\u1362\u104b\u17d4][\"'\u201d\u2019\u00bb\u300d\u300f\uff09)\\]]*\\Z")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -145,20 +155,29 @@ def blocks(page: str) -> list[Block]:
 def decide(found: list[Block]) -> list[Block]:
     """Labels every block; True is main text."""
     has_main = any(b.region and not b.bad for b in found)
+    open_: list[tuple[Block, int, float]] = []  # outside any article: block, words, part of function words
     for b in found:
-        words = b.text.split()
         if b.bad or (has_main and not b.region):
             b.good = False
         elif b.links > LINK_DENSITY * len(b.text):
             b.good = False
-        elif b.region:
-            b.good = True if len(words) > SHORT_WORDS else None
         else:
-            stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / max(1, len(words))
-            if len(words) > LONG_WORDS:
-                b.good = stops >= STOP_DENSITY
-            elif len(words) > SHORT_WORDS:
-                b.good = True if stops >= HIGH_STOP_DENSITY else None
+            words = b.text.split()
+            length = len(words) + (0 if b.text.isascii() else len(_UNSPACED.findall(b.text)) // 2)
+            if b.region:
+                b.good = True if length > SHORT_WORDS else None
+            else:
+                stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / max(1, length)
+                open_.append((b, length, stops))
+    known = _known_language(open_)
+    for b, length, stops in open_:
+        if not known or _other_letters(b.text):
+            if length > LONG_WORDS or (length > SHORT_WORDS and _SENTENCE_END.search(b.text)):
+                b.good = True
+        elif length > LONG_WORDS:
+            b.good = stops >= STOP_DENSITY
+        elif length > SHORT_WORDS:
+            b.good = True if stops >= HIGH_STOP_DENSITY else None
     n = len(found)
     before, after = _nearest(found, range(n)), _nearest(found, range(n - 1, -1, -1))
     labels = []
@@ -178,6 +197,24 @@ def decide(found: list[Block]) -> list[Block]:
     return found
 
 
+def _known_language(blocks: list[tuple[Block, int, float]]) -> bool:
+    """Whether the texts of a page without an article are in a language whose function words are known here."""
+    long = [(length, stops) for _, length, stops in blocks if length > SHORT_WORDS]
+    total = sum(length for length, _ in long)
+    return any(stops >= STOP_DENSITY for _, stops in long) and sum(length * stops for length, stops in long) >= PAGE_STOP_DENSITY * total
+
+
+def _other_letters(text: str) -> bool:
+    """Whether the letters themselves show that it is none of the languages whose function words are known."""
+    if text.isascii():
+        return False
+    words = text.split()
+    return (
+        2 * len(_OTHER_SCRIPT.findall(text)) > sum(map(str.isalpha, text))
+        or 100 * sum(bool(_OTHER_LATIN.search(w)) for w in words) > OTHER_LATIN_PERCENT * len(words)
+    )
+
+
 def _nearest(found: list[Block], order: range) -> list[tuple[int, bool]]:
     """Distance and label of the nearest decided block on one side; the edge of a main region counts as text."""
     out: list[tuple[int, bool]] = [(0, False)] * len(found)

@@ -263,6 +263,31 @@ def test_pages(spark):
     assert extract_text(frame.limit(0)).count() == 0
 
 
+RUSSIAN = "Вчера вечером жители города собрались на главной площади, чтобы обсудить новый план развития парка. " * 4
+POLISH = "Wczoraj wieczorem mieszkańcy miasta zebrali się na głównym placu, aby omówić nowy plan rozwoju parku. " * 4
+GREEK = "Χθες το βράδυ οι κάτοικοι της πόλης συγκεντρώθηκαν στην κεντρική πλατεία για να συζητήσουν το σχέδιο. " * 4
+JAPANESE = "昨日の夜、町の住民は公園の新しい計画について話し合うために中央広場に集まりました。" * 4
+ENGLISH = "This is the note of the owner of the site and it is for all of you that read it with us in the morning. " * 2
+
+
+@pytest.mark.parametrize("text", [RUSSIAN, POLISH, GREEK, JAPANESE], ids=["russian", "polish", "greek", "japanese"])
+def test_pages_in_languages_without_a_stop_word_list(text):
+    """A page without <article> keeps its text, and not its links; short paragraphs too, and beside an English block."""
+    text, one = text.strip(), text.strip()[: len(text) // 4].strip()
+    links = "<div>" + "".join(f'<a href="/{k}">{text[:30]}</a> ' for k in range(20)) + "</div>"
+    footer = f"<footer><p>{text}</p></footer>"
+    assert main_text(f"<body>{links}<div><p>{text}</p></div>{links}{footer}</body>") == text
+    assert main_text(f"<body>{links}<div><p>{one}</p><p>{one}</p></div>{links}{footer}</body>") == f"{one} {one}"
+    assert text in main_text(f"<body>{links}<div><p>{text}</p><p>{text}</p></div><div>{ENGLISH}</div></body>")
+
+
+def test_english_pages_are_judged_by_stop_words():
+    """Long lists without function words beside an English text are still no text."""
+    words = " ".join(f"Keyword{k}" for k in range(40))
+    assert main_text(f"<body><div>{words}</div><h1>Title</h1><p>{ENGLISH}</p></body>").endswith(ENGLISH.strip())
+    assert "Keyword" not in main_text(f"<body><div>{words}</div><h1>Title</h1><p>{ENGLISH}</p></body>")
+
+
 def test_pages_keep_their_article(spark, sf):
     import html
 
