@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from plumbline.llm.decontaminate import decontaminate
 from plumbline.llm.html_text import extract_text
 from plumbline.llm.jaccard_join import jaccard_components
+from plumbline.llm.language_cnn import predict_language
 from plumbline.llm.neighbour_quality import score_quality
 from plumbline.llm.packed_ids import read_packed, write_packed
+from plumbline.llm.prefix_trie import conversation_trie
 from plumbline.llm.quality_rules import quality_rules
 from plumbline.llm.secret_scan import find_secrets, joined
 from plumbline.llm.sentencepieces import encode_pieces
 from plumbline.llm.shared import documents, shared_folder
+from plumbline.llm.structure_repair import repair_conversations
 from plumbline.llm.token_counts import count_tokens
 from plumbline.llm.url_filter import judge_urls
 
@@ -103,6 +106,39 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+#: A rebuilt conversation begins with fewer turns than this of the first one of its hundred.
+HEAD_TURNS = 6
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, each rebuilt on the first turns of the first one of its hundred."""
+    conv = F.col("conv")
+    head = conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % HEAD_TURNS, HEAD_TURNS - 1
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), shared_folder(spark), head=head)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns of which one in twenty each is dropped (`dropped`), emptied, left without ends of sentences, repeated or said by the user."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = turns.select("conv_id", "turn", spaced("role").alias("role"), spaced("text").alias("text"), (F.crc32(F.concat_ws(":", spaced("conv_id"), spaced("turn")).cast("binary")) % 20).alias("code"))
+    copies = F.when(F.col("code") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    text = F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("code") == 4, "user").otherwise(F.col("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("code") == 0).alias("dropped"), F.explode(copies).alias("copy"))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    return repair_conversations(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), absent=F.col("dropped"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the documents that are not held out."""
+    docs = documents(spark, sf_dir)
+    found = predict_language(docs, docs.where(~held_out("doc_id")))
+    return found.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -114,6 +150,9 @@ QUERIES = {
     "op8_packed_ids": op8_packed_ids,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_html_text": op10_html_text,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_structure_repair": op12_structure_repair,
+    "op13_language_id": op13_language_id,
 }
 
 _CANONICAL = """
@@ -140,4 +179,37 @@ select page_id, host, path, rule,
     case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
         when key in (select key from listed) then 'block' else 'allow' end as verdict
 from keyed""",
+    "op11_prefix_trie": """
+with turns as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as i
+    from conversations where conv_id is not null),
+crc as (
+    select conv_id, xor(list_reduce(
+        list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)),
+        lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)),
+            lambda a, k: case when a % 2 = 1 then xor(a // 2, 3988292384::bigint) else a // 2 end)), 4294967295::bigint) as crc
+    from (select distinct conv_id from turns)),
+heads as (select conv_id, conv_id - conv_id % 100 as source, crc % 6 as h from crc),
+built as (
+    select h.conv_id, 0 as part, t.i, t.role, t.text from heads h join turns t on t.conv_id = h.source and t.i < h.h
+    union all select h.conv_id, 1, t.i, t.role, t.text from heads h join turns t on t.conv_id = h.conv_id and t.i >= h.h),
+placed as (select conv_id, row_number() over (partition by conv_id order by part, i) as depth, length(text) as n,
+    sha256(length(role) || ':' || role || text) as own from built),
+keyed as (select conv_id, depth, n, sha256(string_agg(own, '') over (partition by conv_id order by depth rows unbounded preceding)) as key from placed),
+members as (
+    select conv_id, 0 as depth, 0 as n, 'root' as key, null as parent from heads
+    union all select conv_id, depth, n, key, coalesce(lag(key) over (partition by conv_id order by depth), 'root') from keyed),
+nodes as (select key, min(conv_id) as conv_id, min(depth) as depth, min(parent) as parent, min(n) as n, count(*) as n_convs from members group by key),
+children as (select parent as key, count(*) as n_children from nodes where parent is not null group by parent),
+full_nodes as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join children using (key)),
+below as (
+    select m.key, sum(case when v.n_children = 0 then 1 else 0 end) as n_leaves, sum((v.n_convs - 1) * v.n) as saved
+    from full_nodes v join members m on m.conv_id = v.conv_id and m.depth <= v.depth group by m.key),
+ends as (
+    select key, string_agg(conv_id::varchar, ',' order by conv_id) as ids
+    from (select *, max(depth) over (partition by conv_id) as deepest from members) where depth = deepest group by key)
+select v.conv_id, v.depth::bigint as depth, p.conv_id as parent_conv_id, v.n_convs, v.n_children,
+    below.n_leaves::bigint as n_leaves, below.saved::bigint as saved_tokens, sha256(coalesce(ends.ids, '')) as ends_sha256
+from full_nodes v join below using (key) left join ends using (key) left join nodes p on p.key = v.parent""",
 }
