@@ -23,7 +23,7 @@ WINDOW = 96
 WIDTHS = (2, 3, 4)
 FILTERS = 20
 EMBED = 8
-EPOCHS = 6
+STEPS = 1200
 BATCH = 128
 RATE = 0.004
 SEED = 20241
@@ -97,20 +97,19 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(windows: np.ndarray, labels: np.ndarray, classes: int) -> Network:
-    """Adam over shuffled batches, with a fixed seed."""
+    """Adam over shuffled batches, with a fixed seed and number of steps, however few windows there are."""
     network, random = Network(classes), np.random.default_rng(SEED + 1)
     first = {k: np.zeros_like(v) for k, v in network.values.items()}
     second = {k: np.zeros_like(v) for k, v in network.values.items()}
-    t = 0
-    for epoch in range(EPOCHS):
-        order, rate = random.permutation(len(windows)), RATE * (1 - epoch / EPOCHS)
-        for low in range(0, len(order), BATCH):
-            t += 1
-            some = order[low : low + BATCH]
-            for k, g in network.gradients(windows[some], labels[some]).items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.001 * (g * g - second[k])
-                network.values[k] -= rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
+    order = np.zeros(0, np.int64)
+    for t in range(1, STEPS + 1) if len(windows) else ():
+        if len(order) < BATCH:
+            order = np.concatenate([order, random.permutation(len(windows))])
+        some, order, rate = order[:BATCH], order[BATCH:], RATE * (1 - t / (STEPS + 1))
+        for k, g in network.gradients(windows[some], labels[some]).items():
+            first[k] += 0.1 * (g - first[k])
+            second[k] += 0.001 * (g * g - second[k])
+            network.values[k] -= rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
     return network
 
 
