@@ -254,6 +254,12 @@ def _turns(spark, path):
     return turns, previous
 
 
+def _rings(turns):
+    """The first turn of a conversation of five and more depends on the last."""
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last")).where("last > 3")
+    return last.select(F.concat_ws(":", "conv_id", F.lit(0)).alias("src"), F.concat_ws(":", "conv_id", "last").alias("dst"))
+
+
 @case(
     "edge_closure",
     """WITH RECURSIVE e AS (SELECT conv_id || ':' || turn AS src, conv_id || ':' || (turn - 1) AS dst
@@ -267,17 +273,8 @@ def _turns(spark, path):
 )
 def edge_closure(spark, path):
     turns, previous = _turns(spark, path)
-    rings = (
-        turns.groupBy("conv_id")
-        .agg(F.max("turn").alias("last"))
-        .where("last > 3")
-        .select(
-            F.concat_ws(":", "conv_id", F.lit(0)).alias("src"),
-            F.concat_ws(":", "conv_id", "last").alias("dst"),
-        )
-    )
     starts = turns.where("turn = 0").select(F.col("node").alias("start"))
-    return lineage.closure(previous.union(rings), starts)
+    return lineage.closure(previous.union(_rings(turns)), starts)
 
 
 @case(
@@ -298,6 +295,80 @@ def risk_propagation(spark, path):
     return lineage.propagate_risk(nodes, previous, sound, risky)
 
 
+@case(
+    "edge_dependents",
+    """SELECT conv_id || ':0' AS start, conv_id || ':' || turn AS node, CAST(turn AS INTEGER) AS hops
+    FROM conversations WHERE turn > 0""",
+)
+def edge_dependents(spark, path):
+    turns, previous = _turns(spark, path)
+    return lineage.dependents(previous, turns.where("turn = 0").select(F.col("node").alias("start")))
+
+
+@case(
+    "cycle_report",
+    """WITH r AS (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) > 3)
+    SELECT conv_id || ':' || turn AS node, min(conv_id || ':' || turn) OVER w AS component, count(*) OVER w AS size
+    FROM conversations JOIN r USING (conv_id) WINDOW w AS (PARTITION BY conv_id)""",
+)
+def cycle_report(spark, path):
+    turns, previous = _turns(spark, path)
+    return lineage.cycles(previous.union(_rings(turns)))
+
+
+_RISK_STATES = """WITH t AS (SELECT *, length(text) > 1100 AS bad, conv_id % 5 = 0 AS kept,
+      CASE WHEN length(text) % 7 = 0 THEN 'NAME_MATCH' ELSE 'EXACT_MAPPING' END AS resolution,
+      CASE WHEN length(text) % 11 = 0 THEN 'UNSUPPORTED' ELSE 'AUTO_CONVERT' END AS automation0 FROM conversations),
+    w AS (SELECT *, coalesce(bool_or(bad) OVER v, false) AS above FROM t
+      WINDOW v AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    x AS (SELECT *, CASE WHEN bad THEN 'CONFIRMED_INCORRECT' WHEN above THEN 'MANUAL_REVIEW_REQUIRED'
+        ELSE 'STRUCTURALLY_EQUIVALENT' END AS status,
+      CASE WHEN above AND NOT bad AND NOT kept THEN 'MANUAL_REVIEW_REQUIRED' ELSE automation0 END AS automation1,
+      NOT above AND coalesce(bool_or(NOT bad AND NOT above AND (resolution <> 'EXACT_MAPPING' OR automation0 <> 'AUTO_CONVERT'))
+        OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS hit FROM w),
+    s AS (SELECT *, hit AND automation1 = 'AUTO_CONVERT' AS pushed,
+      CASE WHEN hit AND automation1 = 'AUTO_CONVERT' THEN 'MANUAL_REVIEW_REQUIRED' ELSE automation1 END AS automation FROM x)"""
+
+
+def _risk_states(spark, path):
+    turns, previous = _turns(spark, path)
+    length = F.length("text")
+    nodes = turns.select(
+        "node",
+        F.when(length > 1100, "CONFIRMED_INCORRECT").otherwise("STRUCTURALLY_EQUIVALENT").alias("status"),
+        F.when(length % 7 == 0, "NAME_MATCH").otherwise("EXACT_MAPPING").alias("resolution"),
+        F.when(length % 11 == 0, "UNSUPPORTED").otherwise("AUTO_CONVERT").alias("automation"),
+        (F.col("conv_id") % 5 == 0).alias("kept"),
+    )
+    found = lineage.propagate_risks(
+        nodes, previous, "STRUCTURALLY_EQUIVALENT", "MANUAL_REVIEW_REQUIRED", "EXACT_MAPPING", "AUTO_CONVERT"
+    )
+    return found, previous
+
+
+@case(
+    "risk_chains",
+    _RISK_STATES + """ SELECT conv_id || ':' || turn AS node, status, resolution, automation,
+      concat_ws(',', CASE WHEN above AND NOT bad THEN 'TRANSITIVE_DEPENDENCY_RISK' END,
+        CASE WHEN pushed THEN 'TRANSITIVE_DEPENDENCY_AUTOMATION_RISK' END) AS reasons FROM s""",
+)
+def risk_chains(spark, path):
+    found, _ = _risk_states(spark, path)
+    return found.withColumn("reasons", F.concat_ws(",", "reasons"))
+
+
+@case(
+    "risk_dependencies",
+    _RISK_STATES + """ SELECT conv_id || ':' || b.turn AS node, conv_id || ':' || a.turn AS dependency,
+      CASE WHEN a.status <> 'STRUCTURALLY_EQUIVALENT' THEN a.status ELSE a.resolution || ':' || a.automation END AS risk
+    FROM s a JOIN s b USING (conv_id) WHERE b.turn = a.turn + 1 AND (a.status <> 'STRUCTURALLY_EQUIVALENT'
+      OR a.resolution <> 'EXACT_MAPPING' OR a.automation <> 'AUTO_CONVERT')""",
+)
+def risk_dependencies(spark, path):
+    found, previous = _risk_states(spark, path)
+    return lineage.dependency_risks(found, previous, "STRUCTURALLY_EQUIVALENT", "EXACT_MAPPING", "AUTO_CONVERT")
+
+
 @case(
     "findings_summary",
     """SELECT 'BLOCKER' AS severity, 'RESULT_WITHOUT_SPLITS' AS code, count(*) AS findings, 1::BIGINT AS severity_rank

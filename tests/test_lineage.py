@@ -65,3 +65,80 @@ def test_risk_reaches_dependents_only(spark):
         "loose": risk,
         "other": ("WORSE", None),
     }
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    calls = []
+    cut = lineage.cut_lineage
+    monkeypatch.setattr(lineage, "cut_lineage", lambda frame: calls.append(1) or cut(frame))
+    n = 100_000
+    frame = spark.range(n).selectExpr("id AS src", "id + 1 AS dst").repartition(8)
+    starts = spark.createDataFrame([(0,), (n - 3,)], "start long")
+    found = lineage.closure(frame, starts)
+    assert found.where("start = 0").selectExpr("count(*)", "sum(hops)", "max(node - hops)").first() == (n, n * (n + 1) // 2, 0)
+    assert {r.node: r.hops for r in found.where(f"start = {n - 3}").collect()} == {n - 2: 1, n - 1: 2, n: 3}
+    # two tables a round (what is found, longer steps) and three before the first
+    assert len(calls) <= 2 * 20 + 3
+
+
+def test_a_dense_graph_is_not_squared(spark):
+    rng = random.Random(5)
+    edges = list({(rng.randrange(300), rng.randrange(300)) for _ in range(3000)})
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    steps = lineage._Steps(frame)
+    assert not steps.double() and steps.length == 1
+    found = lineage.closure(frame, spark.createDataFrame([(0,), (1,)], "start long"))
+    assert {(r.start, r.node): r.hops for r in found.collect()} == {(s, n): h for s in (0, 1) for n, h in reach(edges, s).items()}
+
+
+def test_cycles_match_mutual_reachability(spark):
+    for seed in (1,):
+        rng = random.Random(seed)
+        n = 60
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(70)] + [(100 + i, 101 + i) for i in range(40)] + [(140, 100), (7, 7), (200, 200), (201, None)]
+        ahead = {s: set(reach([e for e in edges if e[1] is not None], s)) for s in {x for e in edges for x in e if x is not None}}
+        want = {}
+        for s, seen in ahead.items():
+            if s in seen:
+                members = {t for t in seen if s in ahead.get(t, ())}
+                want[s] = (min(members), len(members))
+        found = lineage.cycles(spark.createDataFrame(edges, "src long, dst long"))
+        assert {r.node: (r.component, r.size) for r in found.collect()} == want
+
+
+def test_cycles_of_chains_and_nothing(spark):
+    chain = spark.range(3000).selectExpr("id AS src", "id + 1 AS dst")
+    assert lineage.cycles(chain).count() == 0
+    assert lineage.cycles(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_automation_risk_passes_through_sound_nodes(spark):
+    ok, auto = "STRUCTURALLY_EQUIVALENT", "AUTO_CONVERT"
+    rows = [
+        ("a", ok, "NAME_MATCH", auto, False), ("b", ok, "EXACT_MAPPING", auto, False), ("c", ok, "EXACT_MAPPING", auto, False),
+        ("bad", "WRONG", "EXACT_MAPPING", auto, False), ("d", ok, "EXACT_MAPPING", auto, True), ("e", ok, "EXACT_MAPPING", auto, False),
+        ("f", "WRONG", "EXACT_MAPPING", auto, False), ("g", ok, "EXACT_MAPPING", auto, False), ("lone", ok, "EXACT_MAPPING", auto, False),
+    ]
+    nodes = spark.createDataFrame(rows, "node string, status string, resolution string, automation string, kept boolean")
+    edges = spark.createDataFrame(
+        [("b", "a"), ("c", "b"), ("d", "bad"), ("d", "a"), ("e", "d"), ("f", "c"), ("g", "f"), ("g", "gone"), ("b", "a")], "src string, dst string"
+    )
+    states = lineage.propagate_risks(nodes, edges, ok, "REVIEW", "EXACT_MAPPING", auto)
+    got = {r.node: (r.status, r.automation, tuple(r.reasons)) for r in states.collect()}
+    semantic, automation = lineage.SEMANTIC_RISK, lineage.AUTOMATION_RISK
+    assert got == {
+        "a": (ok, auto, ()),
+        "b": (ok, "REVIEW", (automation,)),
+        "c": (ok, "REVIEW", (automation,)),
+        "bad": ("WRONG", auto, ()),
+        "d": ("REVIEW", "REVIEW", (semantic, automation)),
+        "e": ("REVIEW", "REVIEW", (semantic,)),
+        "f": ("WRONG", "REVIEW", (automation,)),
+        "g": ("REVIEW", "REVIEW", (semantic,)),
+        "lone": (ok, auto, ()),
+    }
+    risks = {(r.node, r.dependency, r.risk) for r in lineage.dependency_risks(states, edges, ok, "EXACT_MAPPING", auto).collect()}
+    assert risks == {
+        ("b", "a", f"NAME_MATCH:{auto}"), ("c", "b", "EXACT_MAPPING:REVIEW"), ("d", "bad", "WRONG"), ("d", "a", f"NAME_MATCH:{auto}"),
+        ("e", "d", "REVIEW"), ("f", "c", "EXACT_MAPPING:REVIEW"), ("g", "f", "WRONG"), ("g", "gone", "UNRESOLVED"),
+    }
