@@ -2,8 +2,9 @@
 
 Sets whose similarity reaches the threshold differ in at most d elements, so of d + 1 parts of the hash space they
 agree on one. Every set gives the hash of each of its parts, for its own size class and the next one; equal hashes
-make candidate clusters, and no similar pair is missed. A cluster is cut into blocks of bounded size. Each block is
-joined by a signature tree. In clusters of several blocks that stay apart, sets of different components that share a
+make candidates, and no similar pair is missed. Candidates first meet as small bitmaps in signature trees; what the
+bitmaps cannot tell apart makes clusters. A cluster is cut into blocks of bounded size, and each block's sets are joined
+by a signature tree. In clusters of several blocks that stay apart, sets of different components that share a
 signature are then joined around the largest of these components.
 Links are a spanning forest: within a group of copies no more links are made than connect it.
 """
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 from plumbline.llm.blocked_bloom import build_bloom
 from plumbline.llm.components import components
 from plumbline.llm.shared import saved
-from plumbline.llm.signature_tree import spanning_links
+from plumbline.llm.signature_tree import possible_links, spanning_links
 from plumbline.llm.textscan import LOWER, Hasher, mix, text_chunks, windows, words
 
 #: Shingles in one block, at most about twice as many.
 BLOCK_SHINGLES = 1 << 19
+#: A block of bitmaps stands for so many times as many.
+SMALLER = 16
 SEEDS = 4
 
 
@@ -143,35 +146,22 @@ def _described(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
     return docs.select(id, text).mapInArrow(run, f"id {kind}, n long, d1 long, d2 long")
 
 
-def stars(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of equal sorted keys: key and first value; and distinct pairs (first value, other value)."""
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    heads = values[first]
-    u = heads[np.cumsum(first) - 1]
-    pairs = np.flatnonzero(u != values)
-    u, v = u[pairs], values[pairs]
-    order = np.lexsort((v, u))
-    u, v = u[order], v[order]
-    new = np.ones(len(u), bool)
-    new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
-    return keys[first], heads, u[new], v[new]
+def _shared(docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
+    """(signature, head): every signature that different sets have, and the least d1 of those.
 
-
-def _candidates(docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
-    """(u, v): d1 of sets with a signature in common, a star for each signature.
-
-    Each task first makes stars of its own rows, half a million signatures at a time, and sends one row for each signature,
-    so a signature that a third of all sets share is a few rows a task. Signatures are dealt out and sorted once;
-    runs of equal ones are read as a stream, whatever their length.
+    Each task sends, half a million signatures at a time, only the least and the greatest d1 of each signature, so one
+    that a third of all sets share is a few rows a task. They are dealt out and sorted once; runs of equal ones are
+    read as a stream, whatever their length.
     """
 
     def combine(sent: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         keys, values = (np.concatenate(x) for x in zip(*sent, strict=True))
-        order = np.lexsort((values, keys))  # the least set leads: sets with many common signatures make the same pair
-        keys, heads, u, v = stars(keys[order], values[order])
-        edge = np.concatenate([np.zeros(len(keys), bool), np.ones(len(u), bool)])
-        return pa.RecordBatch.from_arrays([pa.array(edge), pa.array(np.concatenate([keys, u])), pa.array(np.concatenate([heads, v]))], names=["edge", "key", "value"])
+        order = np.lexsort((values, keys))
+        keys, values = keys[order], values[order]
+        first = np.concatenate([[True], keys[1:] != keys[:-1]])
+        last = np.append(first[1:], True)
+        ends = first | (last & (values != values[first][np.cumsum(first) - 1]))
+        return pa.RecordBatch.from_arrays([pa.array(keys[ends]), pa.array(values[ends])], names=["key", "value"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent, total = [], 0
@@ -185,27 +175,72 @@ def _candidates(docs: DataFrame, id: str, text: str, size: int, percent: int) ->
                 if total > 1 << 19:
                     yield combine(sent)
                     sent, total = [], 0
-        if sent:
+        if total:
             yield combine(sent)
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None  # key and first value of the run that may go on
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = head = None  # of the run that may go on
+        given = False  # whether that run has been handed on
         for batch in batches:
-            edge, keys, values = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            made = [(keys[edge], values[edge])]
-            keys, values = keys[~edge], values[~edge]
-            if len(keys):
-                if last is not None and last[0] == keys[0]:
-                    keys, values = np.append(last[0], keys), np.append(last[1], values)
-                own, heads, u, v = stars(keys, values)
-                made.append((u, v))
-                last = int(own[-1]), int(heads[-1])
-            u, v = (np.concatenate(x) for x in zip(*made, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    rows = docs.where(F.col(id).isNotNull()).select(text).mapInArrow(sign, "edge boolean, key long, value long")
-    dealt = rows.repartition("edge", "key").sortWithinPartitions("edge", "key", "value")
-    return dealt.mapInArrow(link, "u long, v long").distinct()
+            keys, values = (batch.column(k).to_numpy() for k in range(2))
+            if not len(keys):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            heads = values[first]
+            goes_on = keys[0] == key
+            if goes_on:
+                heads[0] = head
+            several = np.logical_or.reduceat(values != np.repeat(heads, np.diff(np.append(first, len(keys)))), first)
+            use = several.copy()
+            if goes_on:
+                use[0] &= not given
+            given = bool(several[-1]) or (goes_on and len(first) == 1 and given)
+            key, head = keys[-1], heads[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first][use]), pa.array(heads[use])], names=["signature", "head"])
+
+    rows = docs.where(F.col(id).isNotNull()).select(text).mapInArrow(sign, "key long, value long")
+    return rows.repartition("key").sortWithinPartitions("key", "value").mapInArrow(runs, "signature long, head long")
+
+
+def bitmap(shingles: np.ndarray) -> bytes:
+    """The set with about a bit for each element; sets of one size have one width."""
+    width = max(64, 1 << int(len(shingles) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[shingles & np.uint64(width - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _possible(docs: DataFrame, classes: DataFrame, folder: str, id: str, text: str, size: int, percent: int) -> DataFrame:
+    """(u, v): d1 of sets that might be similar, as many pairs as connect all that might be.
+
+    Sets with a signature in common meet at the least of all that have it. There they are joined as a signature tree
+    of small bitmaps, a bit for each element, which bounds what they can have in common. Texts that share no more than a
+    passage are told apart here, and their sets go nowhere.
+    """
+    reps = classes.select(F.col("rep").alias("id"), "d1", "d2", "n")
+    heads = saved(_shared(docs, id, text, size, percent), folder, "heads")
+    key = ["id", "d1", "d2"]
+    signed = _signed(docs, reps, id, text, size, percent, heads.select("signature")).join(reps, key)
+    signed = saved(signed.select("d1", "n", "bits", "signatures"), folder, "signed")
+    met = signed.select("d1", F.explode("signatures").alias("signature")).join(heads, "signature").select("head", "d1").distinct()
+    met = saved(met.join(signed.drop("signatures"), "d1"), folder, "met")
+    most = SMALLER * BLOCK_SHINGLES
+    cuts = met.groupBy("head").agg(F.ceil(F.sum("n") / most).cast("int").alias("blocks"))
+    placed = met.join(cuts.where("blocks > 1"), "head", "left").withColumn("block", F.pmod(F.xxhash64("d1"), "blocks").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.concat_ws(":", "head", F.least("block", k), F.greatest("block", k)))
+    groups = F.when(F.col("blocks").isNull(), F.array(F.col("head").cast("string"))).otherwise(pairs)
+    rows = placed.select("d1", "n", "bits", F.explode(groups).alias("group"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in pdf.groupby("group", sort=False):
+            ids = g["d1"].to_numpy()
+            out += [(ids[i], ids[j]) for i, j in possible_links(list(g["bits"]), g["n"].to_numpy(), percent)]
+        return pd.DataFrame(out, columns=["u", "v"])
+
+    total = met.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, 2 * total // most, met.sparkSession.sparkContext.defaultParallelism)
+    return rows.groupBy(F.pmod(F.xxhash64("group"), F.lit(parts))).applyInPandas(run, "u long, v long").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, size: int) -> DataFrame:
@@ -227,7 +262,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, size: int) ->
 
 
 def _signed(docs: DataFrame, wanted: DataFrame, id: str, text: str, size: int, percent: int, among: DataFrame | None = None) -> DataFrame:
-    """id, d1, d2 and each signature of the rows whose id may be wanted; only signatures that may be `among` those."""
+    """id, d1, d2, bitmap and signatures of the rows whose id may be wanted; only signatures that may be `among` those."""
     kind = docs.schema[id].dataType.simpleString()
     context = docs.sparkSession.sparkContext
     bloom = context.broadcast(build_bloom(wanted.select(F.xxhash64("id"))))
@@ -244,11 +279,12 @@ def _signed(docs: DataFrame, wanted: DataFrame, id: str, text: str, size: int, p
                     use = some.value.might_hold(found.view(np.int64))
                     found, at = found[use], np.concatenate([[0], np.cumsum(use)])[at]
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found.view(np.int64)))
-                out = [batch.column(0)[low:high], pa.array(d1), pa.array(d2), lists]
-                yield pa.RecordBatch.from_arrays(out, names=["id", "d1", "d2", "signatures"])
+                bits = pa.array([bitmap(shingles[a:b]) if j > i else b"" for a, b, i, j in zip(cuts[:-1], cuts[1:], at[:-1], at[1:], strict=True)], pa.binary())
+                out = [batch.column(0)[low:high], pa.array(d1), pa.array(d2), bits, lists]
+                yield pa.RecordBatch.from_arrays(out, names=["id", "d1", "d2", "bits", "signatures"])
 
     rows = docs.where(F.col(id).isNotNull()).select(id, text, F.xxhash64(id))
-    return rows.mapInArrow(run, f"id {kind}, d1 long, d2 long, signatures array<long>").where(F.size("signatures") > 0)
+    return rows.mapInArrow(run, f"id {kind}, d1 long, d2 long, bits binary, signatures array<long>").where(F.size("signatures") > 0)
 
 
 def _met(docs: DataFrame, open_: DataFrame, folder: str, id: str, text: str, size: int, percent: int) -> DataFrame:
@@ -264,7 +300,7 @@ def _met(docs: DataFrame, open_: DataFrame, folder: str, id: str, text: str, siz
     key = ["id", "d1", "d2"]
     every = _signed(docs, ranked, id, text, size, percent).join(ranked, key).select("rank", F.explode("signatures").alias("signature"))
     heads = every.groupBy("signature").agg(F.min("rank").alias("least"), F.max("rank").alias("head")).where("least <> head")
-    heads = saved(heads.select("signature", "head"), folder, "heads")
+    heads = saved(heads.select("signature", "head"), folder, "met-heads")
     again = _signed(docs, ranked, id, text, size, percent, heads.select("signature")).join(ranked, key)
     again = again.select(*key, "n", "rank", F.explode("signatures").alias("signature")).join(heads, "signature")
     others = saved(again.where("rank <> head").select("head", *key, "n", "rank").distinct(), folder, "others")
@@ -283,7 +319,7 @@ def _met(docs: DataFrame, open_: DataFrame, folder: str, id: str, text: str, siz
         lambda k: F.concat_ws(":", "head", F.lit("other"), F.least("block", k), F.greatest("block", k)),
     )
     others = others.select(*key, "n", "rank", F.explode(F.concat(across, beside)).alias("group"))
-    return saved(own.unionByName(others), folder, "met")
+    return saved(own.unionByName(others), folder, "met-again")
 
 
 def _tasks(rows: DataFrame) -> int:
@@ -322,7 +358,7 @@ def jaccard_components(docs: DataFrame, folder: str, id: str = "doc_id", text: s
 
     same = _same_id(base, classes, folder)
 
-    clusters = components(_candidates(docs, id, text, size, percent), folder, "clusters")
+    clusters = components(_possible(docs, classes, folder, id, text, size, percent), folder, "clusters")
 
     # Blocks: the sets of a cluster dealt by hash, as many blocks as its shingles need.
     members = classes.join(clusters, F.col("d1") == F.col("node")).select(F.col("rep").alias("id"), "d1", "d2", "n", F.col("root").alias("cluster"))

@@ -52,18 +52,43 @@ def spanning_links(sets: list[np.ndarray], labels: np.ndarray, percent: int) ->
     if m < 2:
         return []
     sizes = np.array([len(s) for s in sets], np.int64)
+
+    def similar(i: int, j: int) -> bool:
+        x, y = sets[order[i]], sets[order[j]]
+        return similar_enough(_common(x, y), len(x), len(y), percent)
+
     order = np.lexsort((sizes, np.array([s[0] for s in sets])))  # similar sets mostly share their least hash
     words = _words(sizes, m)
     bits = np.zeros((m, words), np.uint64)
     for row, k in enumerate(order.tolist()):
         at = sets[k] & np.uint64(64 * words - 1)
         np.bitwise_or.at(bits[row], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    sizes = sizes[order]
+    return _span(bits, sizes[order], labels[order], order, percent, similar)
+
+
+def possible_links(bitmaps: list[bytes], sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of positions whose bitmaps leave it possible that the sets are similar, as many as connect all such pairs.
+
+    Bitmaps have a power of two of bits, 64 at least; wider ones are folded to the width of the narrowest.
+    """
+    m = len(bitmaps)
+    if m < 2:
+        return []
+    least = min(map(len, bitmaps)) // 8
+    bits = np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, least), axis=0) for b in bitmaps])
+    sizes = np.asarray(sizes, np.int64)
+    order = np.lexsort((sizes, bits[:, 0] & np.uint64(0xFFFF)))
+    return _span(bits[order], sizes[order], np.arange(m), order, percent, None)
+
+
+def _span(bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray, order: np.ndarray, percent: int, similar) -> list[tuple[int, int]]:
+    """Spanning links of the sets in tree order; `similar` compares two leaves that are not pruned (None: they count)."""
+    words = bits.shape[1]
     excess = sizes - np.bitwise_count(bits).sum(1, dtype=np.int64)
     levels = [(bits, sizes, sizes, excess)]
     while len(levels[-1][0]) > 1:
         levels.append(_parents(*levels[-1]))
-    forest = Forest(labels[order])
+    forest = Forest(labels)
     out: list[tuple[int, int]] = []
     chunk = max(1, (1 << 18) // (words * FAN * FAN))
     stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -84,11 +109,9 @@ def spanning_links(sets: list[np.ndarray], labels: np.ndarray, percent: int) ->
             continue
         if level == 0:
             for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                if i != j and forest.find(i) != forest.find(j):
-                    x, y = sets[order[i]], sets[order[j]]
-                    if similar_enough(_common(x, y), len(x), len(y), percent):
-                        forest.join(i, j)
-                        out.append((int(order[i]), int(order[j])))
+                if i != j and forest.find(i) != forest.find(j) and (similar is None or similar(i, j)):
+                    forest.join(i, j)
+                    out.append((int(order[i]), int(order[j])))
             continue
         below = len(levels[level - 1][0])
         x = (a[:, None] * FAN + np.repeat(np.arange(FAN), FAN)).ravel()
