@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline import metrics as m
 from plumbline import query
 from plumbline.metrics import Calculate, Predicate
-from plumbline.operators import ordered, windows
+from plumbline.operators import ordered, todate, windows
 from plumbline.queries.registry import case, rounded
 from plumbline.sources.spine import day_spine
 from plumbline.sources.tables import read_table
@@ -181,6 +181,45 @@ def calc_item_ytd_filtered(spark, path):
     return query(model, wanted, by=[PRIORITY, "orders.day"], filters=[since])
 
 
+@case(
+    "customers_to_date",
+    """WITH $GEO, k AS (SELECT DISTINCT r_name, day, o_custkey FROM g),
+    f AS (SELECT r_name, o_custkey, min(day) AS day FROM k GROUP BY r_name, year(day), o_custkey),
+    n AS (SELECT r_name, day, count(*) AS n FROM f GROUP BY 1, 2),
+    d AS (SELECT DISTINCT r_name, day FROM k),
+    t AS (SELECT d.r_name, d.day, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY d.r_name, year(d.day) ORDER BY d.day) AS BIGINT) AS customers_ytd
+      FROM d LEFT JOIN n ON n.r_name IS NOT DISTINCT FROM d.r_name AND n.day = d.day)
+    SELECT r_name, day AS period, customers_ytd, 'day' AS grain FROM t WHERE day >= DATE '1996-06-01'
+    UNION ALL SELECT r_name, CAST(date_trunc('month', day) AS DATE), max(customers_ytd), 'month' FROM t GROUP BY 1, 2
+    UNION ALL SELECT r_name, CAST(date_trunc('year', day) AS DATE), max(customers_ytd), 'year' FROM t GROUP BY 1, 2""",
+)
+def customers_to_date(spark, path):
+    """Distinct customers of the year so far: by day under a filter on the day, by month and by year."""
+    from plumbline.plans.compose import joined_rows
+
+    rows = joined_rows(star(spark, path), "orders", ["region.r_name", "orders.day", "orders.o_custkey"])
+    grains = {
+        g: todate.distinct_to_date(rows, ["r_name"], "day", "o_custkey", "customers_ytd", g).withColumn("grain", F.lit(g))
+        for g in ("day", "month", "year")
+    }
+    return grains["day"].where("period >= DATE '1996-06-01'").unionByName(grains["month"]).unionByName(grains["year"])
+
+
+@case(
+    "median_to_date",
+    """WITH $RESULTS, q AS (SELECT o_orderpriority, day,
+      quantile_cont(part_b, 0.5) OVER w AS median_ytd, quantile_cont(part_b, 0.9) OVER w AS p90_ytd FROM o
+      WHERE part_b IS NOT NULL WINDOW w AS (PARTITION BY o_orderpriority, year(day) ORDER BY day))
+    SELECT DISTINCT o_orderpriority, day AS period, round(median_ytd, 6) AS median_ytd, round(p90_ytd, 6) AS p90_ytd FROM q""",
+)
+def median_to_date(spark, path):
+    from plumbline.plans.compose import joined_rows
+
+    rows = joined_rows(star(spark, path), "orders", ["orders.o_orderpriority", "orders.day", "orders.part_b"])
+    points = {"median_ytd": 0.5, "p90_ytd": 0.9}
+    return rounded(todate.percentiles_to_date(rows, ["o_orderpriority"], "day", "part_b", points))
+
+
 @case(
     "time_spine_fill",
     """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders
