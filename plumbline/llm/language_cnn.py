@@ -145,14 +145,20 @@ def labelled_windows(docs: DataFrame, id: str, text: str, lang: str, sample: int
     """Windows, their language's number, and the languages.
 
     Of each language the texts whose id's hash is smallest, as many as `sample` over the number of languages (one at
-    least); of rows with one id and language the least windows. At most FIT_WINDOWS windows of a text, evenly spaced.
+    least; fewer where many rows have one id); of rows with one id and language the least windows. At most FIT_WINDOWS windows of a text, evenly spaced.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("key"), F.col(lang).cast("string").alias("language"), F.col(text).alias("text"))
-    languages = [r[0] for r in rows.select("language").distinct().orderBy("language").collect()]
+    sizes = {r[0]: r[1] for r in rows.groupBy("language").count().orderBy("language").collect()}
+    languages = list(sizes)
     if not languages:
         return np.zeros((0, WINDOW), np.int16), np.zeros(0, np.int64), []
-    order = Window.partitionBy("language").orderBy(F.xxhash64(F.col("key").cast("string")), "key")
-    keys = rows.select("key", "language").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, sample // len(languages)))
+    # Ranks are taken among a few more keys than are wanted, so no task orders all keys of a language.
+    wanted = max(1, sample // len(languages))
+    shares = rows.sparkSession.createDataFrame([(k, min(1.0, (2 * wanted + 64) / n)) for k, n in sizes.items()], "language string, share double")
+    hashed = rows.select("key", "language", F.xxhash64(F.col("key").cast("string")).alias("hash")).join(F.broadcast(shares), "language")
+    hashed = hashed.where(F.col("hash") / F.lit(float(1 << 64)) + 0.5 <= F.col("share"))
+    order = Window.partitionBy("language").orderBy("hash", "key")
+    keys = hashed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted)
     few = F.broadcast(keys.select("key", "language").distinct())  # at most `sample` rows, or one a language
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
