@@ -3,7 +3,7 @@
 Byte-level and SentencePiece BPE never merge across certain boundaries. Texts are cut there, each piece is hashed,
 and its ids come from a table; pieces that are not there are encoded once with the tokenizer's own library and
 kept. A table holds at most `capacity` pieces and is then begun anew, so a worker's memory is bounded. Every piece
-carries its length and a second hash, compared on each hit.
+keeps its bytes, compared on each hit, so ids never depend on a hash.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from collections.abc import Callable
 import numpy as np
 
 from plumbline.llm.hashtable import HashTable
-from plumbline.llm.textscan import SPACE, Hasher, owners, runs
+from plumbline.llm.textscan import SPACE, Hasher, owners, runs, same_bytes
 
 CAPACITY = 1 << 18
+LETTERS = 1 << 26
 
 
 class PieceTable:
@@ -28,45 +29,47 @@ class PieceTable:
 
     def _clear(self) -> None:
         self.table = HashTable()
+        self.letters = np.zeros(0, np.uint8)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.begin = np.zeros(1, np.int64)
-        self.check = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
     def slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Positions of the pieces in the table, after adding those it lacked."""
         keys = Hasher(data).of(starts, ends)
-        checks = _check(data, starts, ends)
-        if len(self.check) > self.capacity:
+        if len(self.size) > self.capacity or len(self.letters) > LETTERS:
             self._clear()
         found = self.table.find(keys)
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new, first = np.unique(np.maximum(keys[missing], np.uint64(1)), return_index=True)
             first = missing[first]
-            self._add(new, checks[first], self._encoded(data, starts[first], ends[first]))
+            base = self._append(data, starts[first], ends[first])
+            self.table.add(new, base + np.arange(len(new)))
             found[missing] = self.table.find(keys[missing])
-        wrong = np.flatnonzero(self.check[found] != checks)
+        size = ends - starts
+        right = self.size[found] == size
+        fits = np.flatnonzero(right)
+        right[fits] = same_bytes(data, starts[fits], self.letters, self.at[found[fits]], size[fits])
+        wrong = np.flatnonzero(~right)
         if len(wrong):  # same hash, other piece: kept outside the hash table, by position only
-            base = len(self.check)
-            self._append(checks[wrong], self._encoded(data, starts[wrong], ends[wrong]))
-            found[wrong] = base + np.arange(len(wrong))
+            found[wrong] = self._append(data, starts[wrong], ends[wrong]) + np.arange(len(wrong))
         return found
 
-    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
-        raw = data.tobytes()
-        return self.encode([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-
-    def _append(self, checks: np.ndarray, ids: list[list[int]]) -> None:
+    def _append(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> int:
+        """Adds the spans as pieces and gives the position of the first."""
+        base, raw = len(self.size), data.tobytes()
+        pieces = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        ids = self.encode(pieces)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
-        self.check = np.concatenate([self.check, checks])
+        size = ends - starts
+        self.at = np.concatenate([self.at, len(self.letters) + np.cumsum(size) - size])
+        self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(pieces), np.uint8)])
+        self.size = np.concatenate([self.size, size])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, flat])
-
-    def _add(self, keys: np.ndarray, checks: np.ndarray, ids: list[list[int]]) -> None:
-        base = len(self.check)
-        self._append(checks, ids)
-        self.table.add(keys, base + np.arange(len(keys)))
+        return base
 
     def lengths(self, slots: np.ndarray) -> np.ndarray:
         return self.begin[slots + 1] - self.begin[slots]
@@ -79,15 +82,6 @@ class PieceTable:
         return self.ids[np.arange(total) + np.repeat(self.begin[slots] - (stop - size), size)]
 
 
-def _check(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The weights of a piece's bytes, summed, with its length."""
-    total = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(_WEIGHT[data], out=total[1:])
-    return (total[ends] - total[starts]) * 1021 + (ends - starts)
-
-
-_WEIGHT = np.random.default_rng(77).integers(1, 1 << 40, 256, dtype=np.int64)
-
 # Classes of bytes for the byte-level pattern: 0 other, 1 letter, 2 digit, 3 white space.
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[65:91] = _CLASS[97:123] = 1

@@ -2,8 +2,9 @@
 
 Tier one is a compact table of the corpus's frequent pre-tokens and their numbers of tokens, sent to every worker;
 its size is bounded by `frequent`. Tier two is each worker's own cache, where pre-tokens that miss are encoded
-once. Frequencies come from summaries: every task keeps its most frequent pre-tokens, and summaries merge in a tree,
-so no pre-token is ever shuffled. The table decides only where a length is looked up, never what it is.
+once. Frequencies come from summaries: every task keeps its most frequent pre-tokens, a bounded row, and these rows
+are shuffled to merge in a tree; the pre-tokens of the texts never are. The table decides only where a length is looked
+up, never what it is.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.byte_bpe import byte_encoder
 from plumbline.llm.hashtable import HashTable
-from plumbline.llm.textscan import Hasher, text_chunks
+from plumbline.llm.textscan import Hasher, same_bytes, text_chunks
 
 FREQUENT = 1 << 14
 LONGEST = 32
@@ -91,15 +92,34 @@ def frequent_pretokens(docs: DataFrame, path: str, text: str = "text", limit: in
     return sorted(total.pieces.tolist())
 
 
+class Tier:
+    """The table of frequent pre-tokens: their bytes and numbers of tokens."""
+
+    def __init__(self, letters: bytes, sizes: bytes, lengths: bytes):
+        self.letters, self.lengths = np.frombuffer(letters, np.uint8), np.frombuffer(lengths, np.uint8).astype(np.int64)
+        self.size = np.frombuffer(sizes, np.uint8).astype(np.int64)
+        ends = np.cumsum(self.size)
+        self.at = ends - self.size
+        self.table = HashTable(len(self.size))
+        keys, first = np.unique(Hasher(self.letters).of(self.at, ends), return_index=True)
+        self.table.add(keys, first)
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens of each span, -1 for one that is not there; bytes are compared."""
+        out = np.full(len(starts), -1, np.int64)
+        if not len(self.size):
+            return out
+        found, size = self.table.find(Hasher(data).of(starts, ends)), ends - starts
+        hit = np.flatnonzero((found >= 0) & (self.size[found] == size))
+        slot = found[hit]
+        same = same_bytes(data, starts[hit], self.letters, self.at[slot], size[hit])
+        out[hit[same]] = self.lengths[slot[same]]
+        return out
+
+
 @lru_cache(maxsize=4)
-def _tier(letters: bytes, sizes: bytes, lengths: bytes) -> HashTable:
-    data = np.frombuffer(letters, np.uint8)
-    size = np.frombuffer(sizes, np.uint8).astype(np.int64)
-    ends = np.cumsum(size)
-    table = HashTable(len(size))
-    keys, first = np.unique(Hasher(data).of(ends - size, ends), return_index=True)
-    table.add(keys, np.frombuffer(lengths, np.uint8)[first].astype(np.int64))
-    return table
+def _tier(letters: bytes, sizes: bytes, lengths: bytes) -> Tier:
+    return Tier(letters, sizes, lengths)
 
 
 def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", limit: int = FREQUENT) -> DataFrame:
@@ -118,8 +138,8 @@ def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
         for batch in batches:
             for low, high, data, offsets in text_chunks(batch.column(1)):
                 starts, ends, doc, odd = encoder.split(data, offsets)
-                size = tier.find(Hasher(data).of(starts, ends))
-                rest = np.flatnonzero((size < 0) | (ends - starts > LONGEST))
+                size = tier.find(data, starts, ends)
+                rest = np.flatnonzero(size < 0)
                 if len(rest):
                     size[rest] = encoder.pieces.lengths(encoder.pieces.slots(data, starts[rest], ends[rest]))
                 total = np.bincount(doc, size, high - low).astype(np.int64)
