@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,13 +36,14 @@ _OTHER_LATIN = re.compile("[\u00c3\u00c5\u00cc\u00d0\u00d2\u00d5\u00d8\u00dd\u00
 OTHER_LATIN_PERCENT = 5
 _SENTENCE_END = re.compile("[.!?:;\u2026\u3002\uff01\uff1f\u061f\u06d4\u0964\u0589\u1362\u104b\u17d4][\"'\u201d\u2019\u00bb\u300d\u300f\uff09)\\]]*\\Z")
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|textarea|select|iframe|object|title|head\b(?=[^>]*>(?:(?!<body).)*?</head))\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+|[^>]*)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
+_HEAD = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?])")
+_REST = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>")
+_NEAR = 4096  # how far a tag is first looked through for its end
+_EVENT = re.compile("[\"'>]")
+# Elements whose content is no text.
+_RAW = frozenset("script style noscript template svg annotation annotation-xml textarea select iframe object title".split())
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*_RAW, "head")}
+_BODY, _END_OF_HEAD = re.compile("<body", re.I), re.compile("</head", re.I)
 # Tag names by what they mean for blocks.
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer"
@@ -58,11 +60,101 @@ _BAD_WORD = frozenset(
     " subscription signup login social share sharing related recommended comments comment disqus reply replies respond widget toolbar"
     " pagination pager skip alert hidden".split()
 )
+_TOPIC = frozenset("alert menu notice related response reply share sharing skip social".split())
+_FURNITURE = frozenset(
+    "area article articles banner bar block box button buttons container content form group icon icons inner item items link links list"
+    " media message module nav news panel popup post posts row section story stories text title to top wrap wrapper".split()
+) | _BAD_WORD
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NOT_LETTERS = re.compile(r"[^a-z0-9]+")
 
 
+class _Tags:
+    """The markup of a page, in one pass: whatever is broken or left open, no part is searched through again and again."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.events: list[int] | None = None  # quotes and ends of tags, once a tag's end was not near
+        self.ends: list[int] = []
+        self.next: dict[re.Pattern, tuple[int, int]] = {}
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, whether it is an end tag, attributes); the name is empty where no tag is to be judged."""
+        page, at = self.page, 0
+        close = page.find(">")  # the first one at or after the current position
+        while close >= 0:
+            head = _HEAD.search(page, at)
+            if head is None:
+                return
+            start, name = head.start(), head[3]
+            if head[1]:
+                stop = page.find("-->", head.end())
+                at = len(page) if stop < 0 else stop + 3
+                yield start, at, "", False, ""
+            else:
+                if close < head.end():
+                    close = page.find(">", head.end())
+                if close < 0:
+                    break
+                lower = name.lower() if name else ""
+                if not name:
+                    at = close + 1
+                    yield start, at, "", False, ""
+                elif not head[2] and (lower in _RAW or lower == "head" and self._holds_no_body(close)):
+                    stop = _CLOSE[lower].search(page, close + 1)
+                    at = stop.end() if stop else len(page)
+                    yield start, at, "", False, ""
+                else:
+                    end = self._end_of_tag(head.end(), close)
+                    at = end + 1
+                    yield start, at, lower, bool(head[2]), page[head.end() : end]
+            if close < at:
+                close = page.find(">", at)
+        comment = page.find("<!--", at)
+        if comment >= 0:
+            yield comment, len(page), "", False, ""
+
+    def _holds_no_body(self, at: int) -> bool:
+        end = self._find(_END_OF_HEAD, at)
+        return end >= 0 and not 0 <= self._find(_BODY, at) < end
+
+    def _find(self, what: re.Pattern, at: int) -> int:
+        """The next place of a pattern, -1 if there is none; remembered until it is passed."""
+        since, place = self.next.get(what, (at + 1, -1))
+        if not (since <= at and (place < 0 or place >= at)):
+            found = what.search(self.page, at)
+            place = found.start() if found else -1
+            self.next[what] = (at, place)
+        return place
+
+    def _end_of_tag(self, at: int, close: int) -> int:
+        """The first > outside quotes, or the first one of all if a quote stays open."""
+        if self.events is None:
+            found = _REST.match(self.page, at, at + _NEAR)
+            if found:
+                return found.end() - 1
+            self._index()
+        k = bisect_left(self.events, at)
+        return self.ends[k] if k < len(self.ends) and self.ends[k] >= 0 else close
+
+    def _index(self) -> None:
+        """For each quote or >, where a tag ends that reaches it outside quotes; from the last one to the first."""
+        self.events = [m.start() for m in _EVENT.finditer(self.page)]
+        self.ends = [-1] * len(self.events)
+        free = double = single = -1
+        for k in range(len(self.events) - 1, -1, -1):
+            place = self.events[k]
+            letter = self.page[place]
+            if letter == ">":
+                free = place
+            elif letter == '"':
+                free, double = double, free
+            else:
+                free, single = single, free
+            self.ends[k] = free
+
+
 @dataclass
 class Block:
     text: str
@@ -70,9 +162,20 @@ class Block:
     heading: bool
     region: int  # which main region it stands in; 0 outside
     bad: bool  # stands inside a boilerplate container
+    doubt: int = 0  # which article with a boilerplate class it stands in; 0 none
     good: bool | None = field(default=None)
 
 
+def _bad_class(name: str, inside_main: bool) -> bool:
+    words = [w for w in _NOT_LETTERS.split(name) if w]
+    for k, word in enumerate(words):
+        if word in _TOPIC and k + 1 < len(words) and words[k + 1] not in _FURNITURE:
+            continue  # a notice board or social history, not a notice or social links
+        if word in _BAD_WORD or (word == "header" and not inside_main):
+            return True
+    return False
+
+
 def _boilerplate(name: str, rest: str, inside_main: bool) -> bool:
     if name in _BAD_TAG or (name == "header" and not inside_main):
         return True
@@ -81,8 +184,7 @@ def _boilerplate(name: str, rest: str, inside_main: bool) -> bool:
     for key, *values in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), "".join(values).lower()
         if key in ("class", "id"):
-            words = _NOT_LETTERS.split(value)
-            if not _BAD_WORD.isdisjoint(words) or ("header" in words and not inside_main):
+            if any(_bad_class(x, inside_main) for x in value.split()):
                 return True
         elif key == "role" and value in _BAD_ROLE or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
@@ -94,33 +196,30 @@ def _boilerplate(name: str, rest: str, inside_main: bool) -> bool:
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order; empty ones are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open containers: name, boilerplate, main region
+    stack: list[tuple[str, bool, int, int]] = []  # open containers: name, and what held before: boilerplate, main region, doubt
+    depth_of: dict[str, int] = {}  # how many containers of each name are open
     parts: list[str] = []
-    links = regions = 0
+    links = regions = doubts = 0
     link_depth = -1  # open containers when the current link began; -1: not in a link
     heading = bad = False
-    region = at = 0
+    region = doubt = at = 0
 
     def close() -> None:
         nonlocal links, heading
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, links, heading, region, bad))
+                out.append(Block(text, links, heading, region, bad, doubt))
             parts.clear()
         links, heading = 0, False
 
-    for token in _TOKEN.finditer(page):
-        if token.start() > at:
-            piece = page[at : token.start()]
+    for start, stop, name, ends, rest in _Tags(page):
+        if start > at:
+            piece = page[at:start]
             parts.append(piece)
             if link_depth >= 0:
                 links += len(piece.strip())
-        at = token.end()
-        name = token["name"]
-        if name is None:
-            continue
-        name, ends = name.lower(), bool(token["end"])
+        at = stop
         if name == "a":
             link_depth = -1 if ends else len(stack)
         elif name == "br":
@@ -131,27 +230,44 @@ def blocks(page: str) -> list[Block]:
             if name not in _HOLDER:
                 continue
             if not ends:
+                stack.append((name, bad, region, doubt))
+                depth_of[name] = depth_of.get(name, 0) + 1
                 if name in _MAIN and not bad and not region:
                     regions += 1
-                    stack.append((name, bad, region))
                     region = regions
-                else:
-                    stack.append((name, bad, region))
-                # A main region of its own is never judged by its class.
-                bad = bad or (name not in _MAIN and _boilerplate(name, token["rest"], region > 0)) or (name == "article" and region != regions and _boilerplate(name, token["rest"], True))
-            else:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == name:
-                        _, bad, region = stack[depth]
-                        del stack[depth:]
-                        if link_depth > depth:
-                            link_depth = -1
+                if name not in _MAIN:
+                    bad = bad or _boilerplate(name, rest, region > 0)
+                elif not doubt and _boilerplate(name, rest, True):
+                    doubts += 1
+                    doubt = doubts
+            elif depth_of.get(name):
+                while True:
+                    opened, bad, region, doubt = stack.pop()
+                    depth_of[opened] -= 1
+                    if opened == name:
                         break
+                if link_depth > len(stack):
+                    link_depth = -1
     parts.append(page[at:])
     close()
+    _settle(out)
     return out
 
 
+def _settle(found: list[Block]) -> None:
+    """Articles with a boilerplate class are boilerplate, unless the longest is longer than all other articles' text."""
+    sizes: dict[int, int] = {}
+    for b in found:
+        if b.region and not b.bad:
+            sizes[b.doubt] = sizes.get(b.doubt, 0) + len(b.text)
+    clear = sizes.pop(0, 0)
+    longest = max(sizes, key=sizes.__getitem__, default=0)
+    if longest and sizes[longest] <= clear:
+        longest = 0
+    for b in found:
+        b.bad = b.bad or b.doubt not in (0, longest)
+
+
 def decide(found: list[Block]) -> list[Block]:
     """Labels every block; True is main text."""
     has_main = any(b.region and not b.bad for b in found)
