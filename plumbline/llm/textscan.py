@@ -19,12 +19,17 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-# Spans are hashed as polynomials over two prime fields: modulo 2^64 some texts collide whatever the base is.
+_STEP = 0x9E3779B97F4A7C15 | 5
+_BACK = pow(_STEP, -1, 1 << 64)
+_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+# Modulo 2^64 some texts of 512 bytes and more collide whatever the base is, so long spans are polynomials over two
+# prime fields.
+LONG_SPAN = 256
 _PRIME = (1 << 31) - 1
 _BASES = (1_287_346_129, 894_003_817)
 _BYTES = np.random.default_rng(20240607).integers(1, _PRIME, (2, 256), dtype=np.uint64)
-_STEP = 0x9E3779B97F4A7C15 | 5
-_powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64),) * 2] * 2
+_field_powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64),) * 2] * 2
 
 
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -43,15 +48,27 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         low = high
 
 
-def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """At least n powers of each base and of its inverse."""
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
-    if len(_powers[0][0]) < n:
-        size = max(n, CHUNK_BYTES + 1024)
-        _powers = [(_power(base, size), _power(pow(base, -1, _PRIME), size)) for base in _BASES]
+    if len(_powers[0]) < n:
+        out = []
+        for base in (_STEP, _BACK):
+            step = np.full(max(n, CHUNK_BYTES + 1024), base, np.uint64)
+            step[0] = 1
+            out.append(np.cumprod(step, dtype=np.uint64))
+        _powers = (out[0], out[1])
     return _powers
 
 
+def field_powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """At least n powers of each base and of its inverse in the prime fields."""
+    global _field_powers
+    if len(_field_powers[0][0]) < n:
+        size = max(n, CHUNK_BYTES + 1024)
+        _field_powers = [(_power(base, size), _power(pow(base, -1, _PRIME), size)) for base in _BASES]
+    return _field_powers
+
+
 def _power(base: int, n: int) -> np.ndarray:
     out = np.ones(n, np.uint64)
     done = 1
@@ -87,16 +104,29 @@ def lower_latin(data: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """64-bit hashes of any spans of one chunk. Up to 2^30 bytes the running sums stay below 2^63."""
+    """64-bit hashes of any spans of one chunk. Up to 2^30 bytes the sums of long spans stay below 2^63."""
 
     def __init__(self, data: np.ndarray):
-        self._fields = []
-        for (forward, back), weight in zip(powers(len(data) + 1), _BYTES, strict=True):
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_folded(weight[data] * forward[: len(data)]), out=total[1:])
-            self._fields.append((total, back))
+        self._data = data
+        self._forward, self._back = powers(len(data) + 1)
+        self._sum = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * self._forward[: len(data)], out=self._sum[1:])
+        self._fields: list[tuple[np.ndarray, np.ndarray]] = []
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = mix((self._sum[ends] - self._sum[starts]) * self._back[starts])
+        long = np.flatnonzero(ends - starts >= LONG_SPAN)
+        if len(long):
+            out[long] = self._long(starts[long], ends[long])
+        return out
+
+    def _long(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not self._fields:
+            n = len(self._data)
+            for (forward, back), weight in zip(field_powers(n + 1), _BYTES, strict=True):
+                total = np.zeros(n + 1, np.uint64)
+                np.cumsum(_folded(weight[self._data] * forward[:n]), out=total[1:])
+                self._fields.append((total, back))
         high, low = (
             (total[ends] - total[starts]) % np.uint64(_PRIME) * back[starts] % np.uint64(_PRIME)
             for total, back in self._fields
@@ -160,7 +190,6 @@ def windows(hashes: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray,
     for k in range(size):
         total *= np.uint64(_STEP)
         total += hashes[k : k + n]
-        total ^= total >> np.uint64(29)
     return mix(total), doc[:n] == doc[size - 1 :]
 
 
