@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.attach import align, attach
-from plumbline.sources.evidence import evidence_rows
+from plumbline.sources.evidence import altered, contradictory, evidence_cells, evidence_rows
 
 # Fixed tolerance of decimal values, absolute and relative.
 TOLERANCE = 1e-9
 PASSED, FAILED, NOT_AVAILABLE = "PASSED", "FAILED", "NOT_AVAILABLE"
+REFUSED = "REFUSED"
 
 
 def numbers_match(left: Column, right: Column) -> Column:
@@ -154,6 +155,65 @@ def evidence_status(endpoints: DataFrame, cells: DataFrame) -> DataFrame:
     )
 
 
+def gated_evidence(
+    endpoints: DataFrame, left: str = "source", right: str = "target", rows_only: bool = False
+) -> DataFrame:
+    """Status per record, faulty evidence refused before it is compared.
+
+    ``faults`` lists, in this order and comma-joined, what makes a record
+    REFUSED: AVAILABILITY (status, completeness, rows and hash contradict each
+    other, or a side is not there once), HASH (the recorded one is not that of
+    the rows), LABEL (neither INTEGER nor DECIMAL), ROW (a row that is not made
+    of coordinates and a number or blank), DUPLICATE (a coordinate twice on one
+    side), TYPE (a value with a point under an INTEGER label, where the other
+    side has a value too). Records that have no fault are NOT_AVAILABLE, FAILED
+    or PASSED. Cells meet by one aggregation per coordinate, without a join.
+    """
+    record = ["source_measure", "slice"]
+    hash_left = (F.col("status") == "NOT_AVAILABLE") & F.col("result_sha256").isNotNull()
+    sides = F.count_if(F.col("side") == left), F.count_if(F.col("side") == right)
+    known = F.coalesce(F.col("value_type").isin("INTEGER", "DECIMAL"), F.lit(False))
+    there = endpoints.groupBy(*record).agg(
+        (F.bool_or(contradictory() | F.coalesce(hash_left, F.lit(False))) | (sides[0] != 1) | (sides[1] != 1)).alias("AVAILABILITY"),
+        F.bool_or(altered(rows_only)).alias("HASH"),
+        (F.bool_or(~known) | (F.count_distinct("value_type") > 1)).alias("LABEL"),
+        F.bool_and(F.coalesce((F.col("status") == "AVAILABLE") & F.col("complete"), F.lit(False))).alias("__both"),
+    )
+    mine, theirs = F.col("side") == left, F.col("side") == right
+    pick = lambda column, side: F.max(F.when(side, F.col(column)))
+    # A whole number with a point is no integer, so it is compared within tolerance.
+    point = (F.col("kind") == "DECIMAL") & F.col("value").rlike(r"^-?\d+$")
+    cells = evidence_cells(endpoints).withColumn("value", F.when(point, F.concat("value", F.lit(".0"))).otherwise(F.col("value")))
+    at = cells.groupBy(*record, "coordinates").agg(
+        F.count_if(mine).alias("n0"),
+        F.count_if(theirs).alias("n1"),
+        pick("value", mine).alias("v0"),
+        pick("value", theirs).alias("v1"),
+        F.max("value_type").alias("t"),
+        F.bool_or(F.col("kind") == "OTHER").alias("odd"),
+        F.bool_or(F.col("kind") == "DECIMAL").alias("point"),
+    )
+    both = (F.col("n0") > 0) & (F.col("n1") > 0)
+    wrong = F.col("v0").isNotNull() & F.col("v1").isNotNull() & both & (F.col("t") == "INTEGER") & F.col("point")
+    counts = at.groupBy(*record).agg(
+        F.count_if(~both | ~texts_match(F.col("t"), F.col("v0"), F.col("v1"))).alias("mismatches"),
+        F.bool_or("odd").alias("ROW"),
+        F.bool_or((F.col("n0") > 1) | (F.col("n1") > 1)).alias("DUPLICATE"),
+        F.bool_or(wrong).alias("TYPE"),
+    )
+    names = ("AVAILABILITY", "HASH", "LABEL", "ROW", "DUPLICATE", "TYPE")
+    joined = attach(there, counts, record)
+    joined = joined.withColumn("faults", F.concat_ws(",", *(F.when(F.col(n), n) for n in names)))
+    status = (
+        F.when(F.col("faults") != "", REFUSED)
+        .when(~F.col("__both"), NOT_AVAILABLE)
+        .when(F.col("mismatches") > 0, FAILED)
+        .otherwise(PASSED)
+    )
+    compared = (F.col("faults") == "") & F.col("__both")
+    return joined.select(*record, F.when(compared, F.col("mismatches")).alias("mismatches"), "faults", status.alias("status"))
+
+
 def missing_groupings(observed: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Declared grouping sets that no result row shows."""
     seen = observed.select(*keys).distinct()

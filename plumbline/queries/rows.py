@@ -203,6 +203,46 @@ def evidence_compare(spark, path):
     return reconcile.evidence_status(endpoints, reconcile.compare_evidence(endpoints))
 
 
+@case(
+    "evidence_gate",
+    """WITH e AS (SELECT event_type AS source_measure, event_id::VARCHAR AS slice, event_id % 8 AS k FROM events)
+    SELECT source_measure, slice, CASE k WHEN 0 THEN CAST(0 AS BIGINT) WHEN 1 THEN 1 END AS mismatches,
+      CASE k WHEN 3 THEN 'DUPLICATE' WHEN 4 THEN 'TYPE' WHEN 5 THEN 'HASH' WHEN 6 THEN 'ROW' WHEN 7 THEN 'LABEL' ELSE '' END AS faults,
+      CASE k WHEN 0 THEN 'PASSED' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'NOT_AVAILABLE' ELSE 'REFUSED' END AS status
+    FROM e""",
+)
+def evidence_gate(spark, path):
+    """One record per event: right, differing, absent, or with one of the faults that have it refused."""
+    from plumbline.operators import reconcile
+
+    events = read_table(spark, path, "events").select(
+        "event_type", "event_id", (F.col("event_id") % 8).alias("k"), F.floor("value").cast("string").alias("v")
+    )
+    row = lambda value: F.concat(F.lit('{"coordinates":{"EVENT.ID":'), F.col("event_id").cast("string"), F.lit('},"value":'), value, F.lit("}"))
+    v, quoted = F.col("v"), F.concat(F.lit('"'), F.col("v"), F.lit('"'))
+    more = F.floor(F.col("v").cast("double") + 1).cast("string")
+    source = F.when(F.col("k") == 3, F.concat(row(v), F.lit(","), row(v))).otherwise(row(v))
+    target = F.when(F.col("k") == 1, row(more)).when(F.col("k") == 4, row(F.concat("v", F.lit(".0")))).when(F.col("k") == 6, row(quoted))
+    label = F.when(F.col("k") == 7, "MONEY").otherwise("INTEGER")
+    document = F.concat(
+        F.lit('{"source_measure":"'), F.col("event_type"), F.lit('","slice":"'), F.col("event_id").cast("string"), F.lit('","value_type":"'), label,
+        F.lit('","source":'), _available(source, F.lit("")),
+        F.lit(',"target":'),
+        F.when(F.col("k") == 2, '{"status":"NOT_AVAILABLE","complete":false,"result_sha256":null,"rows":[]}').otherwise(
+            _available(target.otherwise(row(v)), F.when(F.col("k") == 5, " ").otherwise(""))
+        ),
+        F.lit("}"),
+    )
+    return reconcile.gated_evidence(evidence.read_evidence(events.select(document.alias("document")), "document"))
+
+
+def _available(rows, spoiled):
+    """An endpoint with the hash of its canonical form, or of another text."""
+    rows = F.concat(F.lit("["), rows, F.lit("]"))
+    canonical = F.concat(F.lit('{"complete":true,"rows":'), rows, F.lit(',"status":"AVAILABLE"}\n'), spoiled)
+    return F.concat(F.lit('{"status":"AVAILABLE","complete":true,"result_sha256":"'), F.sha2(canonical, 256), F.lit('","rows":'), rows, F.lit("}"))
+
+
 @case(
     "metric_slices_long",
     """WITH $GEO, a AS (
