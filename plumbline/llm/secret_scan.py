@@ -40,6 +40,36 @@ MIN_BITS = 96
 FALSE_DISMISSALS = 0.05
 #: p-values are rounded up to exp(-k / 10), k at most this; ranks then come from counts in a table of fixed size.
 STEPS = 400
+#: Matches of a text that are numbered at once.
+CHUNK = 128
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: the only element of an array is bound to a variable."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running combination of an array of integers from 0 on: within chunks, then over the chunks' ends.
+
+    An array grows by copying, so only arrays of a chunk's length, and of one element a chunk, are grown.
+    """
+
+    def grown(xs: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.aggregate(xs, none, lambda acc, x: F.concat(acc, F.array(combine(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)), x))))
+
+    def chunked(xs: Column) -> Column:
+        ends = F.transform(F.sequence(F.lit(0), F.size(xs) - 1, F.lit(CHUNK)), lambda low: F.struct(low.alias("low"), F.least(low + CHUNK, F.size(xs)).alias("high")))
+        return F.transform(ends, lambda c: grown(F.transform(F.sequence(c["low"], c["high"] - 1), lambda i: F.get(xs, i))))
+
+    def based(chunks: Column) -> Column:
+        return _let(
+            grown(F.transform(chunks, lambda c: F.get(c, F.size(c) - 1))),
+            lambda ends: F.flatten(F.transform(chunks, lambda c, k: F.transform(c, lambda x: combine(F.coalesce(F.get(ends, k - 1), F.lit(0)), x)))),
+        )
+
+    return _let(values, lambda xs: F.when(F.size(xs) <= CHUNK, grown(xs)).otherwise(_let(chunked(xs), based)))
 
 
 def _matches(text: Column, pattern: str, value_group: int = 0) -> Column:
@@ -51,14 +81,16 @@ def _matches(text: Column, pattern: str, value_group: int = 0) -> Column:
     # There is one gap more than matches: the text after the last one.
     pairs = F.filter(F.arrays_zip(*(x.alias(n) for n, x in found.items())), lambda p: p["whole"].isNotNull())
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.length(p["whole"])
-        one = F.struct(start.alias("start"), end.alias("end"), p["whole"].alias("whole"), p["value" if value_group else "whole"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(pairs: Column) -> Column:
+        ends = _running(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["whole"])), lambda a, b: a + b)
 
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+        def one(p: Column, k: Column, ends: Column) -> Column:
+            end = F.get(ends, k)
+            return F.struct((end - F.length(p["whole"])).alias("start"), end.alias("end"), p["whole"].alias("whole"), p["value" if value_group else "whole"].alias("value"))
+
+        return _let(ends, lambda ends: F.transform(pairs, lambda p, k: one(p, k, ends)))
+
+    return F.when(text.rlike(pattern), _let(pairs, placed)).otherwise(empty)
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -71,11 +103,6 @@ def known_spans(text: Column) -> Column:
     return F.concat(_spans(assigned, "assign"), _spans(_matches(text, ACCESS), "access"), _spans(_matches(text, HEX), "hex"))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with the value computed once: the only element of an array is bound to a variable."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _minus_log_tail(z: Column, sides: int) -> Column:
     """-log P(Z > z), or of both tails, of the standard normal, within 1e-7 (polynomial approximation 26.2.17)."""
 
@@ -150,12 +177,20 @@ def all_spans(text: Column, steps: dict[str, int]) -> Column:
         limit = F.coalesce(limits[_band(t["encoding"], t["n"])], F.lit(STEPS + 1))
         return t["encoding"].isNotNull() & (t["bits"] >= MIN_BITS) & (t["step"] < limit)
 
-    def both(known: Column) -> Column:
-        random = F.filter(candidates(text), accepted)
-        new = F.filter(random, lambda c: ~F.exists(known, lambda k: (k["start"] <= c["start"]) & (c["end"] <= k["end"])))
-        return F.array_sort(F.concat(known, _spans(new, "random")))
+    def uncovered(known: Column) -> Column:
+        # In the order of starts, known ones first, a candidate is covered if an end so far reaches its own.
+        events = F.concat(
+            F.transform(known, lambda k: F.struct(k["start"].alias("start"), F.lit(False).alias("new"), k["end"].alias("end"))),
+            F.transform(F.filter(candidates(text), accepted), lambda c: F.struct(c["start"].alias("start"), F.lit(True).alias("new"), c["end"].alias("end"))),
+        )
+
+        def left(events: Column) -> Column:
+            reached = _running(F.transform(events, lambda e: F.when(e["new"], 0).otherwise(e["end"])), lambda a, b: F.greatest(a, b))
+            return _let(reached, lambda reached: F.filter(events, lambda e, k: e["new"] & (F.get(reached, k) < e["end"])))
+
+        return _let(F.array_sort(events), left)
 
-    return _let(known_spans(text), both)
+    return _let(known_spans(text), lambda known: F.array_sort(F.concat(known, _spans(uncovered(known), "random"))))
 
 
 def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), rate: float = FALSE_DISMISSALS, spans: str = "spans") -> DataFrame:
@@ -169,17 +204,22 @@ def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", keep:
 
 
 def mask(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
-    """The text with every span, or chain of overlapping spans, replaced."""
-
-    def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(by))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when((s["start"] >= acc["at"]) & (s["end"] > 0), more).otherwise(acc["out"]).alias("out")
-        )
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    rest = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    """The text with every span, or chain of overlapping spans, replaced. Spans are in ascending order."""
+
+    def masked(ends: Column, wide: Column) -> Column:
+        # Four bytes a code point: a piece is cut out without counting from the beginning of the text.
+        def piece(low: Column, high: Column | None = None) -> Column:
+            size = (F.length(wide) if high is None else high * 4) - low * 4
+            return F.decode(F.substring(wide, low * 4 + 1, size), "UTF-32")
+
+        before = F.transform(spans, lambda s, k: F.struct(F.coalesce(F.get(ends, k - 1), F.lit(0)).alias("at"), s["start"].alias("start"), s["end"].alias("end")))
+        kept = F.filter(before, lambda s: (s["start"] >= s["at"]) & (s["end"] > 0))
+        pieces = F.transform(kept, lambda s: F.concat(piece(s["at"], s["start"]), F.lit(by)))
+        return F.concat(F.array_join(pieces, ""), piece(F.get(ends, F.size(ends) - 1)))
+
+    ends = _running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    done = _let(F.struct(ends.alias("ends"), F.encode(text, "UTF-32").alias("wide")), lambda x: masked(x["ends"], x["wide"]))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def joined(spans: Column) -> Column:
