@@ -124,12 +124,16 @@ def randomness(token: Column) -> Column:
     encoding = F.when(~token.rlike(r"^[0-9]+$"), encoding)
     body = F.regexp_replace(token, "=+$", "")
 
+    def counted(acc: Column, place: Column) -> Column:
+        seen = F.when(acc["last"] == place, acc["seen"] + 1).otherwise(F.lit(1.0))
+        return F.struct(place.alias("last"), seen.alias("seen"), (acc["sum"] + 2 * seen - 1).alias("sum"))
+
     def tests(parts: Column) -> Column:
         places, k, n = parts["places"], parts["k"].cast("double"), F.size(parts["places"]).cast("double")
         pairs = F.transform(F.sequence(F.lit(1), F.size(places) - 1), lambda i: F.struct(places[i - 1].alias("a"), places[i].alias("b")))
-        squares = F.aggregate(
-            F.transform(F.array_distinct(places), lambda c: F.size(F.filter(places, lambda x: x == c)).cast("double")), F.lit(0.0), lambda s, c: s + c * c
-        )
+        # The square of a count is the sum of the odd numbers up to it, so sorted places are counted in one go.
+        empty = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("seen"), F.lit(0.0).alias("sum"))
+        squares = F.aggregate(F.sort_array(places), empty, counted, lambda acc: acc["sum"])
         uneven = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
         turns = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + ((p["a"] * 2 >= parts["k"]) != (p["b"] * 2 >= parts["k"])).cast("double"))
         runs = (turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)
@@ -188,9 +192,9 @@ def all_spans(text: Column, steps: dict[str, int]) -> Column:
             reached = _running(F.transform(events, lambda e: F.when(e["new"], 0).otherwise(e["end"])), lambda a, b: F.greatest(a, b))
             return _let(reached, lambda reached: F.filter(events, lambda e, k: e["new"] & (F.get(reached, k) < e["end"])))
 
-        return _let(F.array_sort(events), left)
+        return _let(F.sort_array(events), left)
 
-    return _let(known_spans(text), lambda known: F.array_sort(F.concat(known, _spans(uncovered(known), "random"))))
+    return _let(known_spans(text), lambda known: F.sort_array(F.concat(known, _spans(uncovered(known), "random"))))
 
 
 def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), rate: float = FALSE_DISMISSALS, spans: str = "spans") -> DataFrame:
