@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline import metric_slices, query
-from plumbline.operators import diff, reconcile
+from plumbline.operators import diff, reconcile, treediff
 from plumbline.queries.registry import case
 from plumbline.queries.rows import SLICES
 from plumbline.sources.tables import read_table
@@ -256,6 +256,32 @@ def keyed_diff_summary(spark, path):
     return diff.diff_summary(diff.keyed_diff(*_before_and_after(spark, path), ["o_orderkey"]))
 
 
+_REPRICED = """a AS (SELECT o_orderkey, o_custkey, o_orderstatus,
+        CASE WHEN o_orderkey % 1009 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
+      FROM orders WHERE o_orderkey % 2003 <> 5
+      UNION ALL SELECT -o_orderkey - 1, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 1511 = 7)"""
+
+
+@case(
+    "tree_diff",
+    "WITH " + _REPRICED + """
+    SELECT o_orderkey, CASE WHEN b.o_custkey IS NULL THEN 'added' WHEN a.o_custkey IS NULL THEN 'removed'
+        ELSE 'changed' END AS kind,
+      CASE WHEN b.o_custkey IS NULL OR a.o_custkey IS NULL THEN '' ELSE 'o_totalprice' END AS changes
+    FROM orders b FULL JOIN a USING (o_orderkey)
+    WHERE a.o_custkey IS NULL OR b.o_custkey IS NULL OR a.o_totalprice IS DISTINCT FROM b.o_totalprice""",
+)
+def tree_diff(spark, path):
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+    orders = read_table(spark, path, "orders").select(*columns)
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    repriced = orders.where(key % 2003 != 5).withColumn("o_totalprice", F.when(key % 1009 == 3, price + 1).otherwise(price))
+    added = orders.where(key % 1511 == 7).withColumn("o_orderkey", -key - 1)
+    changes = treediff.tree_diff(orders, repriced.unionByName(added), ["o_orderkey"])
+    fields = F.transform("changes", lambda c: c["field"])
+    return changes.select("o_orderkey", "kind", F.concat_ws(",", fields).alias("changes"))
+
+
 def _snapshots(spark, path):
     base = read_table(spark, path, "customer")
     segment, balance = F.col("c_mktsegment"), F.col("c_acctbal")
