@@ -50,10 +50,11 @@ def _placed(frames: Sequence[DataFrame], key: str) -> list[DataFrame] | None:
 
 
 def _range_of(intervals: Sequence[tuple[int, int]]) -> Column:
-    """Number of the range a place falls in; blank outside the intervals."""
+    """Number of the range a place falls in; -1 outside the intervals, blank for a blank place."""
     total = sum(high - low + 1 for low, high in intervals)
     width = -(-total // (RANGES - len(intervals)))
-    at, number, first = F.col("__at"), F.lit(None).cast("long"), 0
+    at, first = F.col("__at"), 0
+    number = F.when(at.isNotNull(), F.lit(-1).cast("long"))
     for low, high in intervals:
         step = F.floor((at - F.lit(low)) / F.lit(width)) if width > 1 else at - F.lit(low)
         number = F.when(at.between(low, high), step.cast("long") + F.lit(first)).otherwise(number)
@@ -112,8 +113,8 @@ def open_rows(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> tuple
         numbers = [r["range"] for r in found]
         kept = F.col("__at").isNull()
         if found:
-            # Two conditions, so that the first reaches the scan.
-            kept = (kept | _inside(_merged([(r["low"], r["high"]) for r in found]))) & (kept | _range_of(intervals).isin(numbers))
+            # Two conditions without a common part, so that the first reaches the scan.
+            kept = (kept | _inside(_merged([(r["low"], r["high"]) for r in found]))) & F.coalesce(_range_of(intervals).isin(numbers), F.lit(True))
         fine = rows <= FINE * len(found) or all(r["low"] == r["high"] for r in found)
         if fine or (rest is not None and 2 * rows > rest):
             break
