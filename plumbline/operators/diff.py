@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.operators.attach import align
 
+#: Rows of both tables that one task compares.
+PART_ROWS = 1_000_000
+
 
 def row_hash(columns: Sequence[str]) -> Column:
     """Hash of the row that tells a blank from an empty text."""
@@ -129,10 +132,19 @@ def object_status(
     return align(*hashed, keys).select(*keys, status.alias("status"))
 
 
-def omitted_and_extra(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+def omitted_and_extra(source: DataFrame, target: DataFrame, keys: Sequence[str], extra_once: bool = False) -> DataFrame:
+    """Rows of ``source`` whose key ``target`` lacks, and the reverse; a blank key is never found.
+
+    Both are counted and dealt by key into parts of about ``PART_ROWS`` rows before keys are made distinct, so what a
+    task holds does not grow with the tables. With ``extra_once`` each extra key is one row, however often it occurs.
+    """
     keys = list(keys)
-    omitted = source.select(*keys).join(target.select(*keys), keys, "left_anti")
-    extra = target.select(*keys).join(source.select(*keys), keys, "left_anti")
+    source, target = source.select(*keys), target.select(*keys)
+    parts = max(source.sparkSession.sparkContext.defaultParallelism, -(-(source.count() + target.count()) // PART_ROWS))
+    source, target = (f.repartition(parts, *keys) for f in (source, target))
+    # Without the hint a table of keys that Spark takes for small would be sent to every task.
+    omitted = source.join(target.distinct().hint("merge"), keys, "left_anti")
+    extra = (target.distinct() if extra_once else target).join(source.distinct().hint("merge"), keys, "left_anti")
     return omitted.withColumn("side", F.lit("omitted")).unionByName(
         extra.withColumn("side", F.lit("extra"))
     )

@@ -1,5 +1,8 @@
 """Keyed differences and drift between snapshots."""
 
+import re
+from collections import Counter
+
 from plumbline.operators import diff
 
 
@@ -69,3 +72,20 @@ def test_omitted_and_extra(spark):
     one = spark.createDataFrame([(1,), (2,)], "k int")
     two = spark.createDataFrame([(2,), (3,)], "k int")
     assert sorted((r.k, r.side) for r in diff.omitted_and_extra(one, two, ["k"]).collect()) == [(1, "omitted"), (3, "extra")]
+
+
+def test_omitted_and_extra_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(diff, "PART_ROWS", 100)
+    one = [*range(1000), 5, 5, 999, None, None]
+    two = [*range(10, 990), *range(2000, 2020), *range(2000, 2020), *[2000] * 500, None, None]
+    frames = [spark.createDataFrame([(k,) for k in rows], "k long") for rows in (one, two)]
+    sides = [(set(one) - set(two) | {None}, one), (set(two) - set(one) | {None}, two)]
+    for once in (False, True):
+        found = diff.omitted_and_extra(*frames, ["k"], extra_once=once)
+        omitted, extra = (Counter(k for k in rows if k in open_) for open_, rows in sides)
+        want = [(k, "omitted") for k in omitted.elements()] + [(k, "extra") for k in (set(extra) if once else extra.elements())]
+        assert Counter((r.k, r.side) for r in found.collect()) == Counter(want)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan
+        parts = -(-(len(one) + len(two)) // 100)
+        assert set(re.findall(r"hashpartitioning\(k#\d+L?, (\d+)\)", plan)) == {str(parts)}
