@@ -28,6 +28,13 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def _dealt(frame: DataFrame) -> DataFrame:
+    """For a side of a join: both sides are dealt by key. As a broadcast, which
+    Spark prefers for small tables, every table of every round would pass
+    through the driver."""
+    return frame.hint("merge")
+
+
 class _Steps:
     """Pairs of nodes that are ``length`` edges apart.
 
@@ -48,12 +55,12 @@ class _Steps:
         if self.growing:
             into = self.pairs.groupBy(F.col("dst").alias("mid")).agg(F.count("*").alias("a"))
             out = self.pairs.groupBy(F.col("src").alias("mid")).agg(F.count("*").alias("b"))
-            size = into.join(out, "mid").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+            size = into.join(_dealt(out), "mid").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
             self.growing = size <= self.room
             if self.growing:
                 first = self.pairs.select("src", F.col("dst").alias("mid"))
                 second = self.pairs.select(F.col("src").alias("mid"), "dst")
-                pairs = first.join(second, "mid").select("src", "dst").distinct()
+                pairs = first.join(_dealt(second), "mid").select("src", "dst").distinct()
                 # No shortest way comes back to where it began.
                 self.pairs = cut_lineage(pairs if self.loops else pairs.where("src <> dst"))
                 self.length *= 2
@@ -77,11 +84,11 @@ def _spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         # The last `length` layers are enough; while steps grow, those are all.
         wide = _union(rounds) if steps.length == reached + 1 else last
         step = (
-            wide.join(steps.pairs, F.col("node") == F.col("src"))
+            wide.join(_dealt(steps.pairs), F.col("node") == F.col("src"))
             .select(*keys, F.col("dst").alias("node"), (F.col("hops") + steps.length).alias("hops"))
             .groupBy(*keys, "node")
             .agg(F.min("hops").alias("hops"))
-            .join(_union(rounds), [*keys, "node"], "left_anti")
+            .join(_dealt(_union(rounds)), [*keys, "node"], "left_anti")
         )
         last = cut_lineage(step)
         if last.isEmpty():
@@ -104,7 +111,7 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     the square of the nodes.
     """
     edges = cut_lineage(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
-    first = starts.select("start").distinct().join(edges, F.col("start") == F.col("src"))
+    first = starts.select("start").distinct().join(_dealt(edges), F.col("start") == F.col("src"))
     found = _spread(edges, first.select("start", F.col("dst").alias("node")))
     return found.select("start", "node", (F.col("hops") + 1).alias("hops"))
 
@@ -132,8 +139,8 @@ def _least_reachable(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame
     steps = _Steps(edges)
     least = cut_lineage(nodes.select("node", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n")).alias(name)))
     while True:
-        ahead = steps.pairs.join(least.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min(name).alias("other"))
-        both = least.join(ahead.withColumnRenamed("src", "node"), "node", "left")
+        ahead = steps.pairs.join(_dealt(least.withColumnRenamed("node", "dst")), "dst").groupBy("src").agg(F.min(name).alias("other"))
+        both = least.join(_dealt(ahead.withColumnRenamed("src", "node")), "node", "left")
         both = cut_lineage(both.select("node", F.least(name, "other").alias("new"), (F.col("other") < F.col(name)).alias("less")))
         changed = not both.where("less").isEmpty()
         least = both.select("node", F.col("new").alias(name))
@@ -148,7 +155,8 @@ def _amid(edges: DataFrame) -> DataFrame:
     steps, most = _Steps(edges, loops=True), edges.count()
     while steps.length <= most and not steps.pairs.isEmpty() and steps.double():
         pass
-    return steps.pairs.select(F.col("src").alias("node")).intersect(steps.pairs.select(F.col("dst").alias("node")))
+    into = steps.pairs.select(F.col("dst").alias("node"))
+    return steps.pairs.select(F.col("src").alias("node")).distinct().join(_dealt(into), "node", "left_semi")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -165,22 +173,23 @@ def cycles(edges: DataFrame) -> DataFrame:
     found = [edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("of"))]
     while True:
         nodes = _amid(edges)
-        edges = edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi")
-        edges = cut_lineage(edges.join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+        edges = edges.join(_dealt(nodes.withColumnRenamed("node", "src")), "src", "left_semi")
+        edges = cut_lineage(edges.join(_dealt(nodes.withColumnRenamed("node", "dst")), "dst", "left_semi").select("src", "dst"))
         if edges.isEmpty():
             break
         ahead = _least_reachable(nodes, edges, "ahead")
-        marks = cut_lineage(ahead.join(_least_reachable(nodes, _turned(edges), "behind"), "node"))
+        marks = cut_lineage(ahead.join(_dealt(_least_reachable(nodes, _turned(edges), "behind")), "node"))
         found.append(marks.where("ahead = behind").select("node", F.col("ahead.n").alias("of")))
         open_ = marks.where("ahead <> behind")
         a = open_.select(F.col("node").alias("src"), F.col("ahead").alias("a1"), F.col("behind").alias("b1"))
         b = open_.select(F.col("node").alias("dst"), F.col("ahead").alias("a2"), F.col("behind").alias("b2"))
-        kept = edges.join(a, "src").join(b, "dst").where("a1 = a2 AND b1 = b2")
+        kept = edges.join(_dealt(a), "src").join(_dealt(b), "dst").where("a1 = a2 AND b1 = b2")
         edges = cut_lineage(kept.select("src", "dst"))
     # A self-loop inside a larger component belongs to that one, a node with nothing but its loop to itself.
-    members = _union(found[1:] + [found[0].join(_union(found[1:]), "node", "left_anti")]) if found[1:] else found[0]
+    members = _union(found[1:] + [found[0].join(_dealt(_union(found[1:])), "node", "left_anti")]) if found[1:] else found[0]
     sizes = members.groupBy("of").agg(F.min("node").alias("component"), F.count("*").alias("size"))
-    looped = members.join(sizes, "of").join(found[0].select("node", F.lit(True).alias("loop")), "node", "left")
+    loops = found[0].select("node", F.lit(True).alias("loop"))
+    looped = members.join(_dealt(sizes), "of").join(_dealt(loops), "node", "left")
     return looped.where("size > 1 OR loop").select("node", "component", "size")
 
 
@@ -195,7 +204,8 @@ def propagate_risk(nodes: DataFrame, edges: DataFrame, sound: str, risky: str) -
     sound or does not exist. Returns node, status and reason."""
     edges = cut_lineage(edges.select("src", "dst").distinct())
     bad = nodes.where(F.col("status") != sound).select("node")
-    marked = nodes.join(_tainted(edges, bad.union(_unresolved(nodes, edges))).withColumn("__hit", F.lit(True)), "node", "left")
+    hit = _tainted(edges, bad.union(_unresolved(nodes, edges))).withColumn("__hit", F.lit(True))
+    marked = nodes.join(_dealt(hit), "node", "left")
     pushed = (F.col("status") == sound) & F.col("__hit").isNotNull()
     return marked.select(
         "node",
@@ -206,8 +216,8 @@ def propagate_risk(nodes: DataFrame, edges: DataFrame, sound: str, risky: str) -
 
 def _unresolved(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that depend on something that does not exist."""
-    missing = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_anti")
-    return missing.select(F.col("src").alias("node")).join(nodes.select("node"), "node", "left_semi").distinct()
+    missing = edges.join(_dealt(nodes.select(F.col("node").alias("dst"))), "dst", "left_anti")
+    return missing.select(F.col("src").alias("node")).join(_dealt(nodes.select("node")), "node", "left_semi").distinct()
 
 
 def propagate_risks(
@@ -224,15 +234,17 @@ def propagate_risks(
     """
     edges = cut_lineage(edges.select("src", "dst").distinct())
     semantic = propagate_risk(nodes.select("node", "status"), edges, sound, risky)
-    state = nodes.drop("status").join(semantic, "node")
+    state = nodes.drop("status").join(_dealt(semantic), "node")
     lost = F.col("reason").isNotNull() & ~F.coalesce("kept", F.lit(False))
     state = cut_lineage(state.withColumn("automation", F.when(lost, risky).otherwise(F.col("automation"))))
     unsafe = (F.col("status") == sound) & ((F.col("resolution") != exact) | (F.col("automation") != automatic))
-    through = edges.join(state.where(F.col("status") == sound).select(F.col("node").alias("dst")), "dst", "left_semi")
+    firm = state.where(F.col("status") == sound).select(F.col("node").alias("dst"))
+    through = edges.join(_dealt(firm), "dst", "left_semi")
     through = cut_lineage(through.select("src", "dst"))
     seeds = state.where(unsafe).select("node")
-    above = _spread(_turned(through), through.join(seeds.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node")))
-    marked = state.join(above.select("node", F.lit(True).alias("__hit")), "node", "left")
+    first = through.join(_dealt(seeds.withColumnRenamed("node", "dst")), "dst").select(F.col("src").alias("node"))
+    above = _spread(_turned(through), first)
+    marked = state.join(_dealt(above.select("node", F.lit(True).alias("__hit"))), "node", "left")
     pushed = (F.col("automation") == automatic) & F.col("__hit").isNotNull()
     reasons = F.array_compact(F.array("reason", F.when(pushed, AUTOMATION_RISK)))
     return marked.select(
@@ -243,8 +255,8 @@ def propagate_risks(
 def dependency_risks(states: DataFrame, edges: DataFrame, sound: str, exact: str, automatic: str) -> DataFrame:
     """``(node, dependency, risk)``: every direct dependency that is a risk, by
     the states of ``propagate_risks``; one row each, so no list outgrows a row."""
-    edges = edges.select("src", "dst").distinct().join(states.select(F.col("node").alias("src")), "src", "left_semi")
-    below = edges.join(states.withColumnRenamed("node", "dst"), "dst", "left")
+    edges = edges.select("src", "dst").distinct().join(_dealt(states.select(F.col("node").alias("src"))), "src", "left_semi")
+    below = edges.join(_dealt(states.withColumnRenamed("node", "dst")), "dst", "left")
     unsafe = (F.col("resolution") != exact) | (F.col("automation") != automatic)
     risk = (
         F.when(F.col("status").isNull(), UNRESOLVED)

@@ -112,6 +112,32 @@ def test_cycles_of_chains_and_nothing(spark):
     assert lineage.cycles(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_no_table_passes_through_the_driver(spark, monkeypatch):
+    plans = []
+    cut = lineage.cut_lineage
+
+    def seen(frame):
+        out = cut(frame)
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    def rows(frame):
+        got = sorted(tuple(r) for r in frame.collect())
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return got
+
+    monkeypatch.setattr(lineage, "cut_lineage", seen)
+    edges = spark.createDataFrame([*((i, i + 1) for i in range(4)), (4, 0), (4, 9), (7, 8), (8, 8)], "src long, dst long")
+    assert rows(lineage.cycles(edges)) == [*((i, 0, 5) for i in range(5)), (8, 8, 1)]
+    starts = spark.createDataFrame([(7,), (9,)], "start long")
+    assert rows(lineage.dependents(edges, starts)) == [(9, i, 5 - i) for i in range(5)]
+    nodes = spark.createDataFrame([(i, "BAD" if i == 8 else "OK") for i in range(10)], "node long, status string")
+    risky = rows(lineage.propagate_risk(nodes, edges, "OK", "REVIEW").select("node", "status").where("status <> 'OK'"))
+    assert risky == [(7, "REVIEW"), (8, "BAD")]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_automation_risk_passes_through_sound_nodes(spark):
     ok, auto = "STRUCTURALLY_EQUIVALENT", "AUTO_CONVERT"
     rows = [
