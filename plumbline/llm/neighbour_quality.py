@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,18 +100,42 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(place, minlength=n * TERMS).reshape(n, TERMS).astype(np.float32)
 
 
-def fit_space(counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Space:
-    """Decomposition of the sample's weighted term matrix by its Gram matrix over terms."""
-    n = len(counts)
-    weights = np.log((1 + n) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-    rows = unit(np.log1p(counts) * weights)
-    _, axes = np.linalg.eigh(rows.T @ rows)
+@dataclass(frozen=True)
+class Sample:
+    """Term counts of the labelled texts, only those that are not 0, one text after the other."""
+
+    labels: np.ndarray
+    sizes: np.ndarray  # terms of each text
+    places: np.ndarray
+    values: np.ndarray
+
+    def rows(self, weights: np.ndarray) -> np.ndarray:
+        """Weighted log counts, a row of unit length for each text, without a second array of that size."""
+        out = np.zeros((len(self.labels), TERMS), np.float32)
+        out[np.repeat(np.arange(len(out)), self.sizes), self.places] = np.log1p(self.values) * weights[self.places]
+        for low in range(0, len(out), BLOCK):
+            out[low : low + BLOCK] = unit(out[low : low + BLOCK])
+        return out
+
+
+def _gram(rows: np.ndarray) -> np.ndarray:
+    return rows.T @ rows
+
+
+def fit_space(sample: Sample, rank: int = RANK) -> Space:
+    """Decomposition of the sample's weighted term matrix by its Gram matrix over terms.
+
+    This runs in the driver. The rows are made twice, so that they are not there beside the decomposition.
+    """
+    n = len(sample.labels)
+    weights = np.log((1 + n) / (1 + np.bincount(sample.places, minlength=TERMS))).astype(np.float32) + 1
+    _, axes = np.linalg.eigh(_gram(sample.rows(weights)))
     axes = np.ascontiguousarray(axes[:, ::-1][:, :rank]).astype(np.float32)
-    prior = (float(labels.sum()) + 1) / (n + 2)
-    return Space(weights, axes, unit(rows @ axes).astype(np.float32), labels.astype(np.float64), prior)
+    prior = (float(sample.labels.sum()) + 1) / (n + 2)
+    return Space(weights, axes, unit(sample.rows(weights) @ axes).astype(np.float32), sample.labels.astype(np.float64), prior)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, sample: int = SAMPLE) -> Sample:
     """Term counts and labels of at most `sample` labelled texts, those whose id's hash is smallest.
 
     Half of the sample goes to each label as far as there are rows. Labels whose id or value is null, or whose id
@@ -134,11 +159,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, labe
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low:high].cast(pa.string()), batch.column(1)[low:high], places, values], names=["key", "label", "places", "values"])
 
     schema = "key string, label int, places array<int>, values array<float>"
-    rows = texts.mapInArrow(count, schema).dropDuplicates(["key"]).orderBy("key").collect()
-    counts = np.zeros((len(rows), TERMS), np.float32)
-    for k, r in enumerate(rows):
-        counts[k, r["places"]] = r["values"]
-    return counts, np.array([r["label"] for r in rows], np.int64)
+    table = texts.mapInArrow(count, schema).dropDuplicates(["key"]).orderBy("key").drop("key").toArrow()
+    sizes = pc.list_value_length(table["places"]).to_numpy()
+    places, values = (pc.list_flatten(table[c]).to_numpy() for c in ("places", "values"))
+    return Sample(table["label"].to_numpy().astype(np.int64), sizes, places, values)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", keep: tuple[str, ...] = (), sample: int = SAMPLE, score: str = "score") -> DataFrame:
@@ -149,7 +173,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     in the sample. Repeated rows give a row each with equal scores; columns that are not named are not read; an
     empty table gives an empty result.
     """
-    space = fit_space(*labelled_sample(docs, labels, id, text, label, sample))
+    space = fit_space(labelled_sample(docs, labels, id, text, label, sample))
     shared = docs.sparkSession.sparkContext.broadcast(space)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm.html_text import extract_text, main_text
-from plumbline.llm.neighbour_quality import NEIGHBOURS, score_quality
+from plumbline.llm.neighbour_quality import NEIGHBOURS, RANK, TERMS, Sample, fit_space, labelled_sample, score_quality, unit
 from plumbline.llm.packed_ids import Reader, opened, pack, read_packed, unpack, write_packed
 from plumbline.llm.pretokens import byte_level_starts, plain
 from plumbline.llm.quality_rules import distance, quality_rules
@@ -243,6 +244,29 @@ def test_neighbour_votes(spark, sf, docs, odd):
     assert score_quality(odd.limit(0), train).count() == 0
 
 
+def test_the_fit_is_small_in_the_driver(spark):
+    """The sample and its fit take less than three arrays of the sample's dense term counts; the space is the plain one."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", k), F.lit(900)).cast("string")))
+    docs = spark.range(4096).select(F.col("id").alias("doc_id"), F.concat_ws(" ", words).alias("text"), (F.col("id") % 2).cast("int").alias("quality"))
+    labels = docs.select("doc_id", "quality")
+    tracemalloc.start()
+    try:
+        sample = labelled_sample(docs, labels, "doc_id", "text", "quality")
+        space = fit_space(sample)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert isinstance(sample, Sample) and len(sample.labels) == 4096
+    assert peak < 3 * 4096 * TERMS * 4
+    counts = np.zeros((4096, TERMS), np.float32)
+    counts[np.repeat(np.arange(4096), sample.sizes), sample.places] = sample.values
+    weights = np.log(4097 / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
+    rows = unit(np.log1p(counts) * weights)
+    axes = np.ascontiguousarray(np.linalg.eigh(rows.T @ rows)[1][:, ::-1][:, :RANK])
+    assert np.array_equal(space.weights, weights) and np.array_equal(space.axes, axes)
+    assert np.array_equal(space.vectors, unit(rows @ axes))
+
+
 PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><header><h1>Site</h1></header><div id="cookie-notice">We use cookies to
 give you the best of the experience and so on for all of you today.</div><main><article><h2>Head&nbsp;line</h2><p>Short.</p><p>The text
 of the <a href=x>article</a> is long &amp; enough to be of use for the test of this and that.</p><aside>Also read</aside>
